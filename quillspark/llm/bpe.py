@@ -26,8 +26,18 @@ from quillspark.llm.common import bounded
 #: Pieces of up to this many characters go to the library whole.
 LEAF = 256
 #: Entries of the piece cache of one Python worker; it starts anew beyond that.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 400_000
+#: Text bytes that are cut into pieces at a time.
+PART_BYTES = 2 << 20
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Fixed value: a pre-tokenizer's pattern (as JSON) that keeps letters, digits and other signs apart.
+_PATTERN = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _pieces(text: str) -> list[str]:
+    """Cut at white space; str.split also cuts at the four separators that aren't white space."""
+    return [p for p in _SPACE.split(text) if p] if _SEPARATORS.search(text) else text.split()
 
 
 class TreeEncoder:
@@ -109,31 +119,60 @@ class CachedEncoder:
 
     def __init__(self, tokenizer_json: str, most: int = CACHE_PIECES):
         self.tree, self.most = TreeEncoder(tokenizer_json), most
-        self.spaced_decoding = json.loads(tokenizer_json).get("decoder") is None
+        spec = json.loads(tokenizer_json)
+        self.spaced_decoding = spec.get("decoder") is None
+        #: Whether ASCII pieces may be lower-cased and cut before trailing stops and commas first.
+        self.cores = _PATTERN in tokenizer_json and '"Lowercase"' in tokenizer_json
+        #: Between pieces that are encoded in one call stands a special token, which the library never merges.
+        self.mark = next((t["content"] for t in spec.get("added_tokens", []) if t["special"] and not any(t[k] for k in ("lstrip", "rstrip", "single_word"))), None)
+        self.mark_id = self.tree.library.token_to_id(self.mark) if self.mark else None
         self.ids: dict[str, bytes] = {}
         self.words: dict[str, str] = {}
 
+    def core(self, piece: str) -> tuple[str, str]:
+        """A piece that is encoded alike up to the second part, which is encoded on its own."""
+        if not self.cores or "<" in piece or not piece.isascii():
+            return piece, ""
+        lowered = piece.lower()
+        stem = lowered.rstrip(".,")
+        return (stem, lowered[len(stem) :]) if stem and stem[-1].isalnum() else (lowered, "")
+
     def learn(self, pieces: set[str]) -> None:
-        if len(self.ids) + len(pieces) > self.most:
-            self.ids, self.words = {}, {}
+        unknown = [p for p in pieces if p not in self.ids]
+        parts = [self.core(p) for p in unknown]
+        self.encode_pieces(pieces, {x for pair in parts for x in pair if x})
+        for p, (stem, tail) in zip(unknown, parts):
+            self.ids[p] = self.ids[stem] + (self.ids[tail] if tail else b"")
+            if self.spaced_decoding:
+                self.words[p] = f"{self.words[stem]} {self.words[tail]}" if tail else self.words[stem]
+
+    def encode_pieces(self, kept: set[str], pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.ids]
-        short = [p for p in new if len(p) <= self.tree.leaf]
-        for at in range(0, len(short), 20_000):
-            part = short[at : at + 20_000]
-            for p, e in zip(part, self.tree.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.add(p, e.ids)
-        for p in new:
-            if len(p) > self.tree.leaf:
-                self.add(p, self.tree.long_piece(p))
-
-    def add(self, piece: str, ids: list[int]) -> None:
-        self.ids[piece] = np.array(ids, "<u4").tobytes()
+        if len(self.ids) + len(new) > self.most:
+            self.ids = {p: self.ids[p] for p in kept | pieces if p in self.ids}
+            self.words = {p: self.words[p] for p in self.ids} if self.spaced_decoding else {}
+        short = [p for p in new if len(p) <= self.tree.leaf and not (self.mark and self.mark in p)]
+        for at in range(0, len(short), 4_000):
+            part = short[at : at + 4_000]
+            if self.mark is None:
+                for p, e in zip(part, self.tree.library.encode_batch_fast(part, add_special_tokens=False)):
+                    self.add(p, np.array(e.ids, "<u4"))
+                continue
+            ids = np.array(self.tree.library.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark_id)
+            for p, a, b in zip(part, np.concatenate([[0], cuts + 1]).tolist(), [*cuts.tolist(), len(ids)]):
+                self.add(p, ids[a:b])
+        for p in set(new).difference(short):
+            self.add(p, np.array(self.tree.long_piece(p), "<u4"))
+
+    def add(self, piece: str, ids: np.ndarray) -> None:
+        self.ids[piece] = ids.tobytes()
         if self.spaced_decoding:  # without a decoder the library puts one space between tokens
-            self.words[piece] = " ".join(map(self.tree.text_of.__getitem__, ids))
+            self.words[piece] = " ".join(map(self.tree.text_of.__getitem__, ids.tolist()))
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[list[str]]]:
         """Little-endian 32-bit ids of each text, and the pieces that they came from."""
-        split = [[p for p in _SPACE.split(t) if p] if t else [] for t in texts]
+        split = [_pieces(t) if t else [] for t in texts]
         self.learn(set().union(*split))
         return [b"".join(map(self.ids.__getitem__, pieces)) for pieces in split], split
 
@@ -161,7 +200,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, decode: bool = True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _worker_encoder(tokenizer_path)
-        for batch in bounded(batches):
+        for batch in bounded(batches, most=PART_BYTES):
             ids, pieces = coder.encode(batch.column(1).to_pylist())
             columns = [batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
             names = ["doc_id", "ids", "n_tokens"]

@@ -104,6 +104,19 @@ class TokenShard:
         return np.array([self.token(i) for i in range(int(self.starts[k]), int(self.starts[k + 1]))], np.uint32)
 
 
+def _narrowed(encoded: DataFrame) -> DataFrame:
+    """Ids in two bytes each where a document's all fit, to halve what is stored and shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()]
+            narrow = [not len(x) or int(x.max()) < 1 << 16 for x in ids]
+            stored = [(x.astype("<u2") if s else x).tobytes() for x, s in zip(ids, narrow)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stored, pa.binary()), batch.column(2), pa.array(narrow, pa.bool_())], ["doc_id", "ids", "n_tokens", "narrow"])
+
+    return encoded.mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, ids binary, n_tokens bigint, narrow boolean")
+
+
 def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, shard_ids: int = SHARD_IDS) -> None:
     """Encode every whole text, append ``end_id`` to each document and write a store in
     ascending doc_id order.
@@ -115,9 +128,8 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """
     spark = docs.sparkSession
     encoded = encode_documents(docs, tokenizer_path, decode=False)
-    encoded = materialize(encoded.withColumn("tie", F.xxhash64("ids")), "op1-ids")
+    encoded = materialize(_narrowed(encoded).withColumn("tie", F.xxhash64("ids")), "op1-ids")
     kind = dict(encoded.dtypes)["doc_id"]
-    end = np.array([end_id], "<u4").tobytes()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -128,17 +140,16 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, before, held, size
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
-            starts = np.cumsum([0, *(len(x) // 4 for _, x in held)])
+            ids = np.concatenate([x for _, x in held])
+            starts = np.cumsum([0, *(len(x) for _, x in held)])
             row = {"part": [part], "seq": [seq], "before": [before], "n_ids": [len(ids)], "doc_ids": [[d for d, _ in held]], "payload": [pack(ids, starts)]}
             seq, before, held, size = seq + 1, before + len(ids), [], 0
             return pa.RecordBatch.from_pydict(row, schema=arrow)
 
         for batch in batches:
-            doc_ids, values = batch.column(0).to_pylist(), batch.column(1)
-            for d, v in zip(doc_ids, values):
-                ids = v.as_py() + end
-                if held and size + len(ids) > 4 * shard_ids:
+            for d, narrow, v in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = np.append(np.frombuffer(v, "<u2" if narrow else "<u4").astype(np.uint32), np.uint32(end_id))
+                if held and size + len(ids) > shard_ids:
                     yield flush()
                 held.append((d, ids))
                 size += len(ids)
@@ -151,7 +162,7 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     total = encoded.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(parallelism(spark), -(-total // (8 * shard_ids)))
     ordered = encoded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "ids")
-    packed = ordered.select("doc_id", "ids").mapInArrow(shards, f"part int, seq int, before bigint, n_ids bigint, doc_ids array<{kind}>, payload binary")
+    packed = ordered.select("doc_id", "narrow", "ids").mapInArrow(shards, f"part int, seq int, before bigint, n_ids bigint, doc_ids array<{kind}>, payload binary")
     packed.write.option("compression", "zstd").option("parquet.block.size", str(32 << 20)).parquet(path)
     drop_table(encoded)
 

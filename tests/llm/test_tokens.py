@@ -23,7 +23,7 @@ ROWS = [
     (7, "a<|endoftext|>b <|startoftext|>x" + "y" * 3000),
     (None, "no id"),
     (5, "ab" * 5000 + "́" + "=" * 700 + "１２３٤"),
-    (9, " \x85 　 x y"),
+    (9, "a\x1cb Don.t DON'T it's. <|ENDOFTEXT|>, 5. ..,. <|startoftext|>. \x85 　 x y"),
 ]
 
 

@@ -26,13 +26,15 @@ from quillspark.llm.common import bounded
 #: Pieces of up to this many characters go to the library whole.
 LEAF = 256
 #: Entries of the piece cache of one Python worker; it starts anew beyond that.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
 #: Text bytes that are cut into pieces at a time.
 PART_BYTES = 2 << 20
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Fixed value: a pre-tokenizer's pattern (as JSON) that keeps letters, digits and other signs apart.
 _PATTERN = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Letters below this are composed, and lower-case alike everywhere.
+_BEYOND_LATIN = "\u0180"
 
 
 def _pieces(text: str) -> list[str]:
@@ -117,58 +119,79 @@ class TreeEncoder:
 class CachedEncoder:
     """Encodes and decodes whole texts piece by piece; memory stays bounded."""
 
-    def __init__(self, tokenizer_json: str, most: int = CACHE_PIECES):
+    def __init__(self, tokenizer_json: str, decodes: bool = True, most: int = CACHE_PIECES):
+        from tokenizers import Tokenizer, pre_tokenizers
+
         self.tree, self.most = TreeEncoder(tokenizer_json), most
         spec = json.loads(tokenizer_json)
-        self.spaced_decoding = spec.get("decoder") is None
-        #: Whether ASCII pieces may be lower-cased and cut before trailing stops and commas first.
-        self.cores = _PATTERN in tokenizer_json and '"Lowercase"' in tokenizer_json
-        #: Between pieces that are encoded in one call stands a special token, which the library never merges.
-        self.mark = next((t["content"] for t in spec.get("added_tokens", []) if t["special"] and not any(t[k] for k in ("lstrip", "rstrip", "single_word"))), None)
-        self.mark_id = self.tree.library.token_to_id(self.mark) if self.mark else None
+        self.spaced_decoding = decodes and spec.get("decoder") is None
+        #: Whether lower-case Latin words pass the normalizer and the pre-tokenizer unchanged, apart from trailing stops and commas.
+        self.latin = _PATTERN in tokenizer_json and '"Lowercase"' in tokenizer_json and bool(self.tree.suffix)
+        self.plain = Tokenizer(self.tree.final.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.is_end = np.zeros(1 + max(self.tree.text_of), bool)
+        self.is_end[list(self.tree.ends)] = True
         self.ids: dict[str, bytes] = {}
         self.words: dict[str, str] = {}
 
     def core(self, piece: str) -> tuple[str, str]:
-        """A piece that is encoded alike up to the second part, which is encoded on its own."""
-        if not self.cores or "<" in piece or not piece.isascii():
+        """A piece as two parts that can be encoded apart; the second may be empty."""
+        if "<" in piece or not (piece.isascii() or max(piece) < _BEYOND_LATIN):
             return piece, ""
         lowered = piece.lower()
+        if lowered.isalpha():
+            return lowered, ""
         stem = lowered.rstrip(".,")
         return (stem, lowered[len(stem) :]) if stem and stem[-1].isalnum() else (lowered, "")
 
     def learn(self, pieces: set[str]) -> None:
         unknown = [p for p in pieces if p not in self.ids]
-        parts = [self.core(p) for p in unknown]
-        self.encode_pieces(pieces, {x for pair in parts for x in pair if x})
+        if not self.latin:
+            self.encode_pieces(pieces, set(unknown))
+            return
+        parts = list(map(self.core, unknown))
+        new = {stem for stem, _ in parts}
+        new.update(tail for _, tail in parts)
+        new.discard("")
+        self.encode_pieces(pieces, new)
+        ids, words = self.ids, self.words
         for p, (stem, tail) in zip(unknown, parts):
-            self.ids[p] = self.ids[stem] + (self.ids[tail] if tail else b"")
-            if self.spaced_decoding:
-                self.words[p] = f"{self.words[stem]} {self.words[tail]}" if tail else self.words[stem]
+            ids[p] = ids[stem] + ids[tail] if tail else ids[stem]
+        if self.spaced_decoding:
+            for p, (stem, tail) in zip(unknown, parts):
+                words[p] = f"{words[stem]} {words[tail]}" if tail else words[stem]
 
     def encode_pieces(self, kept: set[str], pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.ids]
         if len(self.ids) + len(new) > self.most:
             self.ids = {p: self.ids[p] for p in kept | pieces if p in self.ids}
             self.words = {p: self.words[p] for p in self.ids} if self.spaced_decoding else {}
-        short = [p for p in new if len(p) <= self.tree.leaf and not (self.mark and self.mark in p)]
+        leaf = self.tree.leaf
+        easy = [p for p in new if len(p) <= leaf and p.isalpha() and (p.isascii() or max(p) < _BEYOND_LATIN) and p.islower()] if self.latin else []
+        for at in range(0, len(easy), 8_000):  # one call for many words, which are told apart by their end symbols
+            part = easy[at : at + 8_000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            self.add(part, ids, np.flatnonzero(self.is_end[ids]) + 1)
+        rest = set(new).difference(easy)
+        short = [p for p in rest if len(p) <= leaf]
         for at in range(0, len(short), 4_000):
             part = short[at : at + 4_000]
-            if self.mark is None:
-                for p, e in zip(part, self.tree.library.encode_batch_fast(part, add_special_tokens=False)):
-                    self.add(p, np.array(e.ids, "<u4"))
-                continue
-            ids = np.array(self.tree.library.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            for p, a, b in zip(part, np.concatenate([[0], cuts + 1]).tolist(), [*cuts.tolist(), len(ids)]):
-                self.add(p, ids[a:b])
-        for p in set(new).difference(short):
-            self.add(p, np.array(self.tree.long_piece(p), "<u4"))
-
-    def add(self, piece: str, ids: np.ndarray) -> None:
-        self.ids[piece] = ids.tobytes()
+            found = [e.ids for e in self.tree.library.encode_batch_fast(part, add_special_tokens=False)]
+            self.add(part, np.array([i for x in found for i in x], "<u4"), np.cumsum([len(x) for x in found]))
+        for p in rest.difference(short):
+            ids = np.array(self.tree.long_piece(p), "<u4")
+            self.add([p], ids, np.array([len(ids)]))
+
+    def add(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Store the ids of pieces that stand one after another."""
+        if len(ends) != len(pieces):
+            raise AssertionError("pieces and their ids don't match")
+        data, stop = ids.tobytes(), (4 * ends).tolist()
+        start = [0, *stop[:-1]]
+        self.ids.update(zip(pieces, [data[a:b] for a, b in zip(start, stop)]))
         if self.spaced_decoding:  # without a decoder the library puts one space between tokens
-            self.words[piece] = " ".join(map(self.tree.text_of.__getitem__, ids.tolist()))
+            names = list(map(self.tree.text_of.__getitem__, ids.tolist()))
+            self.words.update(zip(pieces, [" ".join(names[a // 4 : b // 4]) for a, b in zip(start, stop)]))
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[list[str]]]:
         """Little-endian 32-bit ids of each text, and the pieces that they came from."""
@@ -183,9 +206,9 @@ class CachedEncoder:
 
 
 @cache
-def _worker_encoder(path: str) -> CachedEncoder:
+def _worker_encoder(path: str, decodes: bool) -> CachedEncoder:
     with open(path, encoding="utf-8") as f:
-        return CachedEncoder(f.read())
+        return CachedEncoder(f.read(), decodes)
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, decode: bool = True) -> DataFrame:
@@ -199,7 +222,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, decode: bool = True)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _worker_encoder(tokenizer_path)
+        coder = _worker_encoder(tokenizer_path, decode)
         for batch in bounded(batches, most=PART_BYTES):
             ids, pieces = coder.encode(batch.column(1).to_pylist())
             columns = [batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]

@@ -26,7 +26,7 @@ from quillspark.llm.common import bounded
 #: Pieces of up to this many characters go to the library whole.
 LEAF = 256
 #: Entries of the piece cache of one Python worker; it starts anew beyond that.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 500_000
 #: Text bytes that are cut into pieces at a time.
 PART_BYTES = 2 << 20
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
@@ -131,6 +131,8 @@ class CachedEncoder:
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.is_end = np.zeros(1 + max(self.tree.text_of), bool)
         self.is_end[list(self.tree.ends)] = True
+        #: Ids are kept in two bytes each where the vocabulary allows.
+        self.kind = "<u2" if max(self.tree.text_of) < 1 << 16 else "<u4"
         self.ids: dict[str, bytes] = {}
         self.words: dict[str, str] = {}
 
@@ -186,27 +188,29 @@ class CachedEncoder:
         """Store the ids of pieces that stand one after another."""
         if len(ends) != len(pieces):
             raise AssertionError("pieces and their ids don't match")
-        data, stop = ids.tobytes(), (4 * ends).tolist()
+        width = int(self.kind[-1])
+        data, stop = ids.astype(self.kind).tobytes(), (width * ends).tolist()
         start = [0, *stop[:-1]]
         self.ids.update(zip(pieces, [data[a:b] for a, b in zip(start, stop)]))
         if self.spaced_decoding:  # without a decoder the library puts one space between tokens
             names = list(map(self.tree.text_of.__getitem__, ids.tolist()))
-            self.words.update(zip(pieces, [" ".join(names[a // 4 : b // 4]) for a, b in zip(start, stop)]))
+            self.words.update(zip(pieces, [" ".join(names[a // width : b // width]) for a, b in zip(start, stop)]))
 
-    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[list[str]]]:
-        """Little-endian 32-bit ids of each text, and the pieces that they came from."""
+    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[list[str]]]:
+        """Ids of each text (of type ``kind``), and the pieces that they came from."""
         split = [_pieces(t) if t else [] for t in texts]
         self.learn(set().union(*split))
-        return [b"".join(map(self.ids.__getitem__, pieces)) for pieces in split], split
+        known = self.ids.__getitem__
+        return [np.frombuffer(b"".join(map(known, pieces)), self.kind) for pieces in split], split
 
-    def decode(self, ids: bytes, pieces: list[str]) -> str:
+    def decode(self, ids: np.ndarray, pieces: list[str]) -> str:
         if self.spaced_decoding:
             return " ".join(w for w in map(self.words.__getitem__, pieces) if w)
-        return self.tree.decode(np.frombuffer(ids, "<u4").tolist())
+        return self.tree.decode(ids.tolist())
 
 
 @cache
-def _worker_encoder(path: str, decodes: bool) -> CachedEncoder:
+def worker_encoder(path: str, decodes: bool) -> CachedEncoder:
     with open(path, encoding="utf-8") as f:
         return CachedEncoder(f.read(), decodes)
 
@@ -222,10 +226,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, decode: bool = True)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _worker_encoder(tokenizer_path, decode)
+        coder = worker_encoder(tokenizer_path, decode)
         for batch in bounded(batches, most=PART_BYTES):
             ids, pieces = coder.encode(batch.column(1).to_pylist())
-            columns = [batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            columns = [batch.column(0), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array(list(map(len, ids)), pa.int64())]
             names = ["doc_id", "ids", "n_tokens"]
             if decode:
                 columns.append(pa.array([coder.decode(x, p) for x, p in zip(ids, pieces)], pa.string()))

@@ -216,8 +216,8 @@ def blocks(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
         seq, held = TaskContext.get().partitionId() << 24, []
         size, slots = 0, None
 
-        def table(n, **columns) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)).cast(f.type) for f in arrow], schema=arrow)
+        def table(rows_out, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows_out, f.type)).cast(f.type) for f in arrow], schema=arrow)
 
         def flush() -> Iterator[pa.RecordBatch]:
             words = list(slots)

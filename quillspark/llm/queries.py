@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, simhash, token_store
-from quillspark.llm.common import documents, limit_batches
+from quillspark.llm import bpe, context_tree, language, line_dedup, paragraph_sketch, pii, simhash, token_store, toxicity
+from quillspark.llm.common import crc_bucket, documents, limit_batches
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+#: Key of the pseudonyms; a deployment passes its own secret to the operator.
+PII_KEY = b"quillspark example key"
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +23,38 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score_documents(documents(spark, sf_dir), modulus=5, held_out=1)
+
+
+def op4_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_sketch.fingerprint_versions(documents(spark, sf_dir))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.learn(docs, modulus=3, held_out=1)
+    held_out = (crc_bucket(F.col("doc_id"), 3) == 1).alias("held_out")
+    return docs.select("doc_id", held_out, language.identify(model, docs).alias("found")).select("doc_id", "held_out", "found.*")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise_documents(documents(spark, sf_dir), PII_KEY)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = crc_bucket(F.col("doc_id"), 5) == 0
+    model = toxicity.learn(docs.where(~held_out), labels.where(~held_out))
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.assess(model, docs).alias("found"))
+    return scored.select("doc_id", "held_out", "found.score", (F.col("found.score") >= 0.5).cast("int").alias("predicted"), "found.offending")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedupe_lines(documents(spark, sf_dir)).select("doc_id", "text", "removed_lines", "earlier")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     limit_batches(spark)
     coded = bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
@@ -33,7 +67,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_store": op1_token_store, "op7_bpe": op7_bpe, "op8_simhash": op8_simhash}
+    found = (op1_token_store, op3_context_tree, op4_paragraph_sketch, op5_language, op6_pii, op7_bpe, op8_simhash, op9_toxicity, op10_line_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.bpe import encode_documents
-from quillspark.llm.common import drop_table, materialize, parallelism, scratch_path
+from quillspark.llm.bpe import PART_BYTES, worker_encoder
+from quillspark.llm.common import bounded, parallelism, scratch_path
 
 MAGIC, VERSION = b"QDAC", 1
 #: Ids in a shard; a longer document has a shard of its own.
@@ -104,67 +104,52 @@ class TokenShard:
         return np.array([self.token(i) for i in range(int(self.starts[k]), int(self.starts[k + 1]))], np.uint32)
 
 
-def _narrowed(encoded: DataFrame) -> DataFrame:
-    """Ids in two bytes each where a document's all fit, to halve what is stored and shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()]
-            narrow = [not len(x) or int(x.max()) < 1 << 16 for x in ids]
-            stored = [(x.astype("<u2") if s else x).tobytes() for x, s in zip(ids, narrow)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stored, pa.binary()), batch.column(2), pa.array(narrow, pa.bool_())], ["doc_id", "ids", "n_tokens", "narrow"])
-
-    return encoded.mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, ids binary, n_tokens bigint, narrow boolean")
-
-
 def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, shard_ids: int = SHARD_IDS) -> None:
     """Encode every whole text, append ``end_id`` to each document and write a store in
     ascending doc_id order.
 
     NULL and empty texts hold the end id alone.  NULL ids come first.  Rows of equal doc_id
-    are ordered by their ids, and equal rows are all kept.  An empty table writes an empty
-    store.  The range shuffle moves encoded ids, not texts; ties on doc_id are split by a
-    hash of the ids, so that no key gathers in one task unless its rows are identical.
+    are ordered by their text, and equal rows are all kept.  An empty table writes an empty
+    store.  Texts are range-shuffled once and encoded where they are packed; ties on doc_id are
+    dealt by a hash of the text, so that no key gathers in one task unless its rows are identical.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = docs.sparkSession
-    encoded = encode_documents(docs, tokenizer_path, decode=False)
-    encoded = materialize(_narrowed(encoded).withColumn("tie", F.xxhash64("ids")), "op1-ids")
-    kind = dict(encoded.dtypes)["doc_id"]
+    kind = dict(docs.dtypes)["doc_id"]
+    arrow = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(to_arrow_type(docs.schema["doc_id"].dataType))), ("payload", pa.binary())])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        coder = worker_encoder(tokenizer_path, False)
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple] = []
-        size = 0
+        held, names, size = [], [], 0
+        end = np.array([end_id], np.uint32)
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, before, held, size
-            ids = np.concatenate([x for _, x in held])
-            starts = np.cumsum([0, *(len(x) for _, x in held)])
-            row = {"part": [part], "seq": [seq], "before": [before], "n_ids": [len(ids)], "doc_ids": [[d for d, _ in held]], "payload": [pack(ids, starts)]}
-            seq, before, held, size = seq + 1, before + len(ids), [], 0
+            nonlocal seq, before, held, names, size
+            ids = np.concatenate([x for pair in held for x in (pair, end)])
+            starts = np.cumsum([0, *(len(x) + 1 for x in held)])
+            row = {"part": [part], "seq": [seq], "before": [before], "n_ids": [len(ids)], "doc_ids": [names], "payload": [pack(ids, starts)]}
+            seq, before, held, names, size = seq + 1, before + len(ids), [], [], 0
             return pa.RecordBatch.from_pydict(row, schema=arrow)
 
-        for batch in batches:
-            for d, narrow, v in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.append(np.frombuffer(v, "<u2" if narrow else "<u4").astype(np.uint32), np.uint32(end_id))
-                if held and size + len(ids) > shard_ids:
+        for batch in bounded(batches, most=PART_BYTES):
+            for name, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())[0]):
+                if held and size + len(ids) + 1 > shard_ids:
                     yield flush()
-                held.append((d, ids))
-                size += len(ids)
+                held.append(ids)
+                names.append(name)
+                size += len(ids) + 1
         if held:
             yield flush()
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(to_arrow_type(encoded.schema["doc_id"].dataType))), ("payload", pa.binary())])
-    total = encoded.agg(F.sum("n_tokens")).first()[0] or 0
-    parts = max(parallelism(spark), -(-total // (8 * shard_ids)))
-    ordered = encoded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "ids")
-    packed = ordered.select("doc_id", "narrow", "ids").mapInArrow(shards, f"part int, seq int, before bigint, n_ids bigint, doc_ids array<{kind}>, payload binary")
+    parts = max(parallelism(spark), docs.count() // 50_000)
+    key = F.col("doc_id").asc_nulls_first()
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts, key, F.xxhash64("text")).sortWithinPartitions(key, F.xxhash64("text"), "text")
+    packed = ordered.mapInArrow(shards, f"part int, seq int, before bigint, n_ids bigint, doc_ids array<{kind}>, payload binary")
     packed.write.option("compression", "zstd").option("parquet.block.size", str(32 << 20)).parquet(path)
-    drop_table(encoded)
 
 
 def read_token_store(spark: SparkSession, path: str) -> DataFrame:

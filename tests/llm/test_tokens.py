@@ -63,7 +63,7 @@ def test_bounded_cache_forgets(spark):
     coder = bpe.CachedEncoder(SPEC, most=3)
     for text in ("one two three four", "two five", "one one six"):
         ids, pieces = coder.encode([text])
-        assert np.frombuffer(ids[0], "<u4").tolist() == expected(text)
+        assert ids[0].tolist() == expected(text)
     assert len(coder.ids) <= 4
 
 

@@ -16,6 +16,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from quillspark.llm.common import bounded
 #: Pieces of up to this many characters go to the library whole.
 LEAF = 256
 #: Entries of the piece cache of one Python worker; it starts anew beyond that.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 700_000
 #: Text bytes that are cut into pieces at a time.
 PART_BYTES = 2 << 20
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
@@ -136,38 +137,55 @@ class CachedEncoder:
         self.ids: dict[str, bytes] = {}
         self.words: dict[str, str] = {}
 
+    def lowered(self, text: str) -> str:
+        """Lower case at once where the normalizer would do the same to every character."""
+        if not self.latin or "<" in text:
+            return text
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        return text.lower()
+
     def core(self, piece: str) -> tuple[str, str]:
         """A piece as two parts that can be encoded apart; the second may be empty."""
         if "<" in piece or not (piece.isascii() or max(piece) < _BEYOND_LATIN):
             return piece, ""
-        lowered = piece.lower()
+        lowered = piece if piece.islower() else piece.lower()
         if lowered.isalpha():
             return lowered, ""
         stem = lowered.rstrip(".,")
         return (stem, lowered[len(stem) :]) if stem and stem[-1].isalnum() else (lowered, "")
 
-    def learn(self, pieces: set[str]) -> None:
-        unknown = [p for p in pieces if p not in self.ids]
+    def learn(self, split: list[list[str]]) -> None:
+        """Make every piece known; all is forgotten first where the bound would be passed."""
+        unknown: set[str] = set()
+        for pieces in split:
+            unknown.update(filterfalse(self.ids.__contains__, pieces))
+        if len(self.ids) + len(unknown) > self.most:
+            self.ids, self.words = {}, {}
+            unknown = set().union(*split)
         if not self.latin:
-            self.encode_pieces(pieces, set(unknown))
+            self.encode_pieces(unknown)
             return
         parts = list(map(self.core, unknown))
         new = {stem for stem, _ in parts}
         new.update(tail for _, tail in parts)
         new.discard("")
-        self.encode_pieces(pieces, new)
+        self.encode_pieces(new)
         ids, words = self.ids, self.words
         for p, (stem, tail) in zip(unknown, parts):
-            ids[p] = ids[stem] + ids[tail] if tail else ids[stem]
+            if tail:
+                ids[p] = ids[stem] + ids[tail]
+            elif p is not stem:
+                ids[p] = ids[stem]
         if self.spaced_decoding:
             for p, (stem, tail) in zip(unknown, parts):
                 words[p] = f"{words[stem]} {words[tail]}" if tail else words[stem]
 
-    def encode_pieces(self, kept: set[str], pieces: set[str]) -> None:
+    def encode_pieces(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.ids]
-        if len(self.ids) + len(new) > self.most:
-            self.ids = {p: self.ids[p] for p in kept | pieces if p in self.ids}
-            self.words = {p: self.words[p] for p in self.ids} if self.spaced_decoding else {}
         leaf = self.tree.leaf
         easy = [p for p in new if len(p) <= leaf and p.isalpha() and (p.isascii() or max(p) < _BEYOND_LATIN) and p.islower()] if self.latin else []
         for at in range(0, len(easy), 8_000):  # one call for many words, which are told apart by their end symbols
@@ -198,8 +216,8 @@ class CachedEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[list[str]]]:
         """Ids of each text (of type ``kind``), and the pieces that they came from."""
-        split = [_pieces(t) if t else [] for t in texts]
-        self.learn(set().union(*split))
+        split = [_pieces(self.lowered(t)) if t else [] for t in texts]
+        self.learn(split)
         known = self.ids.__getitem__
         return [np.frombuffer(b"".join(map(known, pieces)), self.kind) for pieces in split], split
 

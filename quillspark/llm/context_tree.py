@@ -415,6 +415,6 @@ def score_documents(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> Dat
             {"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": pa.array(score, pa.float64()), "n_bytes": pa.array(n_bytes, pa.int64())}
         )
 
-    known = entries.select("block", "slot", "unit", "tail", "head").join(spelled, "unit").select("block", "slot", "tail", "head", "c", "log", "size")
-    scored = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(add_up, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, n_bytes bigint")
+    known = entries.select("block", "slot", "unit", "tail", "head").join(spelled, "unit").select(F.col("block").alias("of_block"), "slot", "tail", "head", "c", "log", "size")
+    scored = texts.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(add_up, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, n_bytes bigint")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score", "n_bytes")

@@ -27,6 +27,8 @@ ORDER = 5
 SAMPLE_DOCS, SAMPLE_CHARS = 500, 100_000
 CACHE_WORDS = 250_000
 _RUN = re.compile(r"[^\W\d_]+")
+#: Pieces that aren't language: numbers, keys, mail addresses.
+_MARKED = re.compile(r"[\d@]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -170,7 +172,7 @@ class Scorer:
             self.clear()
         new = [p for p in new if p not in self.slot]
         if new:
-            runs = [_RUN.findall(p) for p in new]
+            runs = [_RUN.findall(p) if p.isalpha() or not _MARKED.search(p) else [] for p in new]
             flat = list({r for rs in runs for r in rs})
             place = {r: i for i, r in enumerate(flat)}
             log, size = self.model.score(flat)
@@ -196,8 +198,8 @@ def calibrate(model: KneserNey, texts: dict[str, list[str]]) -> np.ndarray:
     """Limits of rejection from texts that the model wasn't fitted on.
 
     The deviation of a text is how far its cross-entropy lies above the language's mean,
-    in standard deviations for its length.  Half as much again as the largest one among
-    the calibration texts of the language, 12 at least, is accepted.
+    in standard deviations for its length.  Up to two and a half times the largest one among
+    the calibration texts of the language, and 25 at least, is accepted.
     """
     scorer, out = Scorer(model), []
     for i, lang in enumerate(model.langs):
@@ -212,7 +214,7 @@ def calibrate(model: KneserNey, texts: dict[str, list[str]]) -> np.ndarray:
         long = n >= np.median(n)
         beyond = max(1e-4, np.median((entropy[long] - mean) ** 2) / 0.455 - np.mean(one / n[long]))
         deviation = (entropy - mean) / np.sqrt(beyond + one / n)
-        out.append((mean, beyond, one, max(12.0, 1.5 * deviation.max())))
+        out.append((mean, beyond, one, max(25.0, 2.5 * deviation.max())))
     return np.array(out).reshape(-1, 4)
 
 
@@ -262,10 +264,11 @@ def identify(model: KneserNey, docs: DataFrame) -> Column:
                 texts = array.slice(at, 2000).to_pylist()
                 total, chars = scorer.texts(texts)
                 for t, n, text in zip(total, chars, texts):
-                    if not n or not langs or not any(map(str.isalpha, text)):
+                    if not langs or not text or not any(map(str.isalpha, text)):
                         preds.append("und"), scores.append(0.0), entropies.append(None), rejects.append(True)
                         continue
                     best = int(t.argmax())
+                    n = max(n, 1)  # letters beside digits only: nothing to score
                     mean, beyond, one, most = limits[best]
                     preds.append(langs[best])
                     scores.append(float(1 / np.exp(t - t[best]).sum()))

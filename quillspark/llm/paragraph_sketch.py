@@ -23,9 +23,9 @@ from quillspark.llm.common import parallelism
 #: Cells of one table of a sketch; three tables make a sketch (or a group of a larger one).
 CELLS = 8
 #: Mean digests of both sides in a group of a larger sketch, and the number of retries.
-GROUP, RETRIES = 8, 3
+GROUP, RETRIES = 8, 4
 #: Rounds of peeling; each takes out every digest that stands alone in a cell.
-ROUNDS = 6
+ROUNDS = 8
 #: Texts up to this many characters are cut into sentences.
 SHORT = 1500
 _FIRST = -(1 << 63)
@@ -53,8 +53,9 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(7))
 
 
-def _in_cell(digest: Column, table: Column, slot: Column) -> Column:
-    return F.call_function("shiftrightunsigned", digest, table * 3).bitwiseAND(F.lit(CELLS - 1)) == slot
+def _in_cell(digest: Column, table: Column, slot: Column, level: int) -> Column:
+    """Whether a digest is in a cell; each level of retries uses bits of its own."""
+    return F.call_function("shiftrightunsigned", digest, table * 3 + 9 * level).bitwiseAND(F.lit(CELLS - 1)) == slot
 
 
 def _places() -> Column:
@@ -62,12 +63,12 @@ def _places() -> Column:
     return F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).cast("bigint").alias("i")) for t in range(3) for i in range(CELLS)))
 
 
-def cells(array: Column) -> Column:
+def cells(array: Column, level: int = 0) -> Column:
     """Sketch of an array of digests."""
     zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("h"))
 
     def cell(known: Column, at: Column) -> Column:
-        mine = F.filter(known, lambda d: _in_cell(d, at["t"], at["i"]))
+        mine = F.filter(known, lambda d: _in_cell(d, at["t"], at["i"], level))
         return F.aggregate(mine, zero, lambda a, d: F.struct((a["c"] + 1).alias("c"), a["k"].bitwiseXOR(d).alias("k"), a["h"].bitwiseXOR(_check(d)).alias("h")))
 
     return let(array, lambda known: F.transform(_places(), lambda at: cell(known, at)))
@@ -77,7 +78,7 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct((x["c"] - y["c"]).alias("c"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h")))
 
 
-def peel(difference: Column) -> Column:
+def peel(difference: Column, level: int = 0) -> Column:
     """struct<cells, only_a, only_b> after peeling: digests of either side, and what is left."""
     none = F.array().cast("array<bigint>")
     start = F.struct(difference.alias("cells"), none.alias("only_a"), none.alias("only_b"))
@@ -90,7 +91,7 @@ def peel(difference: Column) -> Column:
         def step(sign: int) -> Callable[[Column, Column], Column]:
             return lambda a, d: F.struct((a["c"] - sign).alias("c"), a["k"].bitwiseXOR(d).alias("k"), a["h"].bitwiseXOR(_check(d)).alias("h"))
 
-        mine = lambda side: F.filter(side, lambda d: _in_cell(d, at["t"], at["i"]))
+        mine = lambda side: F.filter(side, lambda d: _in_cell(d, at["t"], at["i"], level))
         return F.aggregate(mine(found["b"]), F.aggregate(mine(found["a"]), cell, step(1)), step(-1))
 
     def take(state: Column, found: Column) -> Column:
@@ -110,32 +111,34 @@ def failed(state: Column) -> Column:
     return F.exists(state["cells"], lambda x: (x["c"] != 0) | (x["k"] != 0))
 
 
-def differing(a: Column, b: Column, cells_a: Column, cells_b: Column, retry: int = 1) -> Column:
-    """struct<n, left>: how many digests differ between the two texts, as peeled from the
-    sketches' difference, and how many digests are in groups that no retry could peel
-    (those are counted as differing)."""
+def with_differing(rows: DataFrame, a: str, b: str, cells_a: str, cells_b: str, out: str) -> DataFrame:
+    """``rows`` with column ``out``: struct<n, left> of how many digests differ between the columns
+    ``a`` and ``b``, as peeled from the difference of their sketches, and how many are in groups that no retry
+    could peel (those are counted as differing).
 
-    def count(state: Column) -> Column:
-        peeled = F.struct((F.size(state["only_a"]) + F.size(state["only_b"])).alias("n"), F.lit(0).alias("left"))
-        if retry > RETRIES:
-            rest = F.struct((F.size(a) + F.size(b)).alias("n"), (F.size(a) + F.size(b)).alias("left"))
-        else:
-            rest = let(F.greatest(F.lit(2), F.ceil((F.size(a) + F.size(b)) / F.lit(GROUP)).cast("int")), larger)
-        return F.when(failed(state), rest).otherwise(peeled)
-
-    def larger(groups: Column) -> Column:
-        pick = lambda side, g: F.filter(side, lambda d: F.pmod(F.shiftrightunsigned(d, 12 * retry), groups) == g)
-
-        def one(g: Column) -> Column:
-            return let(
-                F.struct(pick(a, g).alias("a"), pick(b, g).alias("b")),
-                lambda p: let(F.struct(p["a"].alias("a"), p["b"].alias("b"), cells(p["a"]).alias("ca"), cells(p["b"]).alias("cb")), lambda q: differing(q["a"], q["b"], q["ca"], q["cb"], retry + 1)),
-            )
-
-        zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("left"))
-        return F.aggregate(F.transform(F.sequence(F.lit(0), groups - 1), one), zero, lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), (s["left"] + x["left"]).alias("left")))
-
-    return let(peel(subtract(cells_a, cells_b)), count)
+    Each step is a column of its own, so that nothing is computed twice.
+    """
+    kept = rows.columns
+
+    def split(p: Column, retry: int) -> Column:
+        groups = F.greatest(F.lit(2), F.ceil((F.size(p["a"]) + F.size(p["b"])) / F.lit(GROUP)).cast("int"))
+        pick = lambda side, g: F.filter(side, lambda d: F.pmod(F.xxhash64(d, F.lit(retry)), groups) == g)
+        return F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.struct(pick(p["a"], g).alias("a"), pick(p["b"], g).alias("b")))
+
+    rows = rows.withColumn("__tried", F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b"), peel(subtract(F.col(cells_a), F.col(cells_b))).alias("s"))))
+    n = F.lit(0)
+    for retry in range(1, RETRIES + 2):
+        done = F.aggregate("__tried", n, lambda total, q: total + F.when(failed(q["s"]), 0).otherwise(F.size(q["s"]["only_a"]) + F.size(q["s"]["only_b"])))
+        rest = F.transform(F.filter("__tried", lambda q: failed(q["s"])), lambda q: F.struct(q["a"].alias("a"), q["b"].alias("b")))
+        rows = rows.withColumns({f"__n{retry}": done, f"__rest{retry}": rest})
+        n = F.col(f"__n{retry}")
+        if retry <= RETRIES:
+            rows = rows.withColumn("__groups", F.flatten(F.transform(f"__rest{retry}", lambda p: split(p, retry))))
+            rows = rows.withColumn("__subtracted", F.transform("__groups", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), subtract(cells(p["a"], retry), cells(p["b"], retry)).alias("d"))))
+            rows = rows.withColumn("__tried", F.transform("__subtracted", lambda q: F.struct(q["a"].alias("a"), q["b"].alias("b"), peel(q["d"], retry).alias("s"))))
+    left = F.aggregate(f"__rest{RETRIES + 1}", F.lit(0), lambda total, p: total + F.size(p["a"]) + F.size(p["b"]))
+    rows = rows.withColumn("__left", left)
+    return rows.select(*kept, F.struct((n + F.col("__left")).alias("n"), F.col("__left").alias("left")).alias(out))
 
 
 def likeness(a: Column, b: Column, different: Column) -> Column:
@@ -204,21 +207,20 @@ def compare(versions: DataFrame) -> DataFrame:
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
     rows = versions.select("doc_id", "text", "next_text", n.cast("bigint").alias("n_chars"), edited.alias("edited"))
-
-    def sketches(r: Column) -> Column:
-        return let(
-            F.struct(*(r[c].alias(c) for c in ("a", "e", "n")), *(cells(r[c]).alias("c" + c) for c in ("a", "e", "n"))),
-            lambda s: F.struct(
-                as_text(s["ca"]).alias("fingerprint"),
-                as_text(s["ce"]).alias("edited_fingerprint"),
-                let(differing(s["a"], s["e"], s["ca"], s["ce"]), lambda d: F.struct(likeness(s["a"], s["e"], d["n"]).alias("near"), d["left"].alias("left"))).alias("edited"),
-                let(differing(s["a"], s["n"], s["ca"], s["cn"]), lambda d: F.struct(likeness(s["a"], s["n"], d["n"]).alias("near"), d["left"].alias("left"))).alias("next"),
-            ),
-        )
-
-    found = let(F.struct(digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("n")), sketches)
-    out = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), found.alias("found"))
-    return out.select("doc_id", "n_chars", "edited_sha256", "found.fingerprint", "found.edited_fingerprint", F.col("found.edited.near").alias("near_edited"), F.col("found.next.near").alias("near_next"), (F.col("found.edited.left") + F.col("found.next.left")).alias("unpeeled"))
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("n"))
+    rows = rows.withColumns({"ca": cells(F.col("a")), "ce": cells(F.col("e")), "cn": cells(F.col("n"))})
+    rows = with_differing(rows, "a", "e", "ca", "ce", "by_edit")
+    rows = with_differing(rows, "a", "n", "ca", "cn", "by_next")
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        as_text(F.col("ca")).alias("fingerprint"),
+        as_text(F.col("ce")).alias("edited_fingerprint"),
+        likeness(F.col("a"), F.col("e"), F.col("by_edit.n")).alias("near_edited"),
+        likeness(F.col("a"), F.col("n"), F.col("by_next.n")).alias("near_next"),
+        (F.col("by_edit.left") + F.col("by_next.left")).alias("unpeeled"),
+    )
 
 
 def fingerprint_versions(docs: DataFrame) -> DataFrame:

@@ -166,6 +166,8 @@ class Scorer:
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Log probabilities of each text under each language, and its characters with boundaries."""
+        if not self.model.langs:
+            return np.zeros((len(texts), 0)), np.zeros(len(texts), np.int64)
         split = [t.lower().split() if t else [] for t in texts]
         new = set().union(*split) if split else set()
         if len(self.slot) + len(new) > self.most:

@@ -41,8 +41,11 @@ def materialize(df: DataFrame, label: str, partition_by: Iterable[str] = ()) ->
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost
     executor loses nothing."""
     path = scratch_path(df.sparkSession, label)
+    schema, spark = df.schema, df.sparkSession
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop_table(df: DataFrame) -> None:

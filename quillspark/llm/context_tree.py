@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded, crc_bucket, limit_batches, materialize, parallelism, release
+from quillspark.llm.common import bounded, crc_bucket, drop_table, limit_batches, materialize, parallelism
 
 #: Bytes of context of the deepest nodes; a window (context and symbol) fills 64 bits.
 DEPTH = 7
 #: Bytes of a word whose contexts reach into the word before, and how far they reach there.
 HEAD, TAIL = 3, 2
 #: Text bytes of a block, and units of a vocabulary part: what one task holds at a time.
-BLOCK_BYTES, PART_UNITS = 24 << 20, 400_000
+BLOCK_BYTES, PART_UNITS = 32 << 20, 400_000
 #: Windows whose trees one task builds at a time (whole three-byte contexts).
 TREE_WINDOWS = 1 << 20
 #: The end of a text stands in dictionaries as a lone space, which no word can be.
@@ -199,14 +199,15 @@ class TopNodes:
 
 
 def blocks(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
-    """Rows of two kinds: 0, a document's word numbers; 1, a unit of a block's dictionary with
-    its count in the block's training texts.  A word has its number as slot and those of its
-    tail and head; a head's unit has slot -1 and the numbers of the tail before it and of
-    itself.  The end of a text is a word too."""
+    """Rows of three kinds: 0, a document's word numbers (``ids``); 1, a unit of a block's
+    dictionary (``slot``, ``unit``) with its count ``n`` in the block's training texts; 2, for each block,
+    the number ``n`` of its words, the tail and head numbers of each word (``ids``) and the tail
+    and head number of each head unit, as one sorted number (``unit``).  Words have the first slots and head
+    units the next ones.  The end of a text is a word too."""
     limit_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", (crc_bucket(F.col("doc_id"), modulus) == held_out).alias("held_out"))
     kind = dict(docs.dtypes)["doc_id"]
-    out = f"kind int, block bigint, doc_id {kind}, held_out boolean, ids binary, slot int, unit binary, n bigint, tail int, head int"
+    out = f"kind int, block bigint, doc_id {kind}, held_out boolean, ids binary, slot int, unit binary, n bigint"
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -239,12 +240,13 @@ def blocks(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
             tail_names, head_names = list(tails), list(heads)
             pair_tail, pair_head = np.divmod(pairs, len(heads))
             units = [head_unit(tail_names[a], head_names[b]) for a, b in zip(pair_tail.tolist(), pair_head.tolist())]
-            entries = ((np.arange(len(words)), words, counts, tail, head), (np.full(len(units), -1), units, pair_counts, pair_tail, pair_head))
-            for slot, names, count, a, b in entries:
-                for at in range(0, len(names), 100_000):
-                    to = slice(at, at + 100_000)
-                    n = len(names[to])
-                    yield table(n, kind=pa.array(np.ones(n, np.int32)), block=pa.array(np.full(n, seq)), slot=pa.array(slot[to]), unit=pa.array(names[to], pa.binary()), n=pa.array(count[to]), tail=pa.array(a[to]), head=pa.array(b[to]))
+            shape = np.stack([tail, head]).astype(np.int32).tobytes()
+            yield table(1, kind=pa.array([2]), block=pa.array([seq]), ids=pa.array([shape], pa.binary()), unit=pa.array([(pair_tail << 32 | pair_head).tobytes()], pa.binary()), n=pa.array([len(words)]))
+            names, count = words + units, np.concatenate([counts, pair_counts])
+            for at in range(0, len(names), 100_000):
+                part = names[at : at + 100_000]
+                n = len(part)
+                yield table(n, kind=pa.array(np.ones(n, np.int32)), block=pa.array(np.full(n, seq)), slot=pa.array(np.arange(at, at + n, dtype=np.int32)), unit=pa.array(part, pa.binary()), n=pa.array(count[at : at + n]))
 
         for batch in bounded(batches):
             if slots is None:
@@ -294,44 +296,62 @@ def _window_counts(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.select("part", "unit", "c").mapInArrow(run, "part int, win bigint, n bigint")
 
 
-def _trees(counts: DataFrame) -> DataFrame:
-    """Rows of two kinds from ``win, n``: 0, a window with its deep predictions; 1, a node of
-    two context bytes with its counts and its children's log weights."""
-    spark = counts.sparkSession
+def _dealt(counts: DataFrame) -> DataFrame:
+    """``win, n, near`` with all windows of the same three bytes before the symbol in one task, in order."""
     near = F.shiftrightunsigned(F.col("win"), 8).bitwiseAND(F.lit(0xFFFFFF))
-    parts = max(parallelism(spark), 1)
-    dealt = counts.withColumn("near", near).repartition(parts, "near").sortWithinPartitions("near").select("win", "n", "near")
+    parts = max(parallelism(counts.sparkSession), 1)
+    return counts.withColumn("near", near).repartition(parts, "near").sortWithinPartitions("near").select("win", "n", "near")
+
+
+def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    """Windows, their deep predictions and the nodes of three context bytes, for whole groups at a time."""
+
+    def grow(win: np.ndarray, n: np.ndarray):
+        win = win.view(np.uint64)
+        return win, *deep_mix(win, n.astype(float), DEPTH, 3)
+
+    held, size = [], 0
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        size += batch.num_rows
+        if size >= TREE_WINDOWS:
+            win, n, near = (np.concatenate(x) for x in zip(*held))
+            cut = int(np.searchsorted(near, near[-1]))
+            if cut:
+                yield grow(win[:cut], n[:cut])
+            held, size = [[win[cut:], n[cut:], near[cut:]]], len(win) - cut
+    if size:
+        win, n, _ = (np.concatenate(x) for x in zip(*held))
+        yield grow(win, n)
+
+
+def top_nodes(counts: DataFrame) -> TopNodes:
+    """Nodes of two context bytes and less, from all windows' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def grow(win: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            mixed, top = deep_mix(win, n, DEPTH, 3)
-            for at in range(0, len(win), 100_000):
-                w = win[at : at + 100_000]
-                p = pa.array([r.tobytes() for r in mixed[at : at + 100_000]], pa.binary())
-                yield batch_of(0, w, p, *[pa.nulls(len(w), pa.float64())] * 3)
+        for _, _, top in _grown(batches):
             key = np.concatenate([k for k, *_ in top])
             two, where = np.unique(key & np.uint64(0xFFFFFF), return_inverse=True)
             sums = [np.bincount(where, np.concatenate([x[i] for x in top]), len(two)) for i in (1, 2, 3)]
-            yield batch_of(1, two, pa.nulls(len(two), pa.binary()), *map(pa.array, sums))
+            yield pa.RecordBatch.from_arrays([pa.array(two.view(np.int64)), *map(pa.array, sums)], ["node", "zeros", "ones", "below"])
 
-        def batch_of(kind, win, p, zeros, ones, below) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(win), kind, np.int32)), pa.array(win.view(np.int64)), p, zeros, ones, below], ["kind", "win", "p", "zeros", "ones", "below"])
+    nodes = _dealt(counts).mapInArrow(run, "node bigint, zeros double, ones double, below double")
+    # at most 65,536 x 255 rows, whatever the corpus
+    table = nodes.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).toArrow()
+    return TopNodes(table.column("node").to_numpy().view(np.uint64), *(table.column(c).to_numpy() for c in ("zeros", "ones", "below")))
 
-        held, size = [], 0
-        for batch in batches:
-            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            size += batch.num_rows
-            if size >= TREE_WINDOWS:
-                win, n, near = (np.concatenate(x) for x in zip(*held))
-                cut = int(np.searchsorted(near, near[-1]))
-                if cut:
-                    yield from grow(win[:cut].view(np.uint64), n[:cut].astype(float))
-                held, size = [[win[cut:], n[cut:], near[cut:]]], len(win) - cut
-        if size:
-            win, n, _ = (np.concatenate(x) for x in zip(*held))
-            yield from grow(win.view(np.uint64), n.astype(float))
 
-    return dealt.mapInArrow(run, "kind int, win bigint, p binary, zeros double, ones double, below double")
+def window_logs(counts: DataFrame, top: TopNodes) -> DataFrame:
+    """``win, log``: the log10 probability of each window's symbol after its context."""
+    shared = counts.sparkSession.sparkContext.broadcast(top)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for win, mixed, _ in _grown(batches):
+            log = shared.value.log_probability(win, mixed) / _LN10
+            for at in range(0, len(win), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(win[at : at + 200_000].view(np.int64)), pa.array(log[at : at + 200_000])], ["win", "log"])
+
+    return _dealt(counts).mapInArrow(run, "win bigint, log double")
 
 
 def score_documents(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> DataFrame:
@@ -348,28 +368,17 @@ def score_documents(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> Dat
     """
     spark = docs.sparkSession
     stored = materialize(blocks(docs, modulus, held_out), "op3-blocks", ["kind"])
-    texts = stored.where("kind = 0").select("block", "doc_id", "held_out", "ids")
-    entries = stored.where("kind = 1").select("block", "slot", "unit", "n", "tail", "head")
-    n_entries = entries.count()
-    parts = max(1, -(-n_entries // (2 * PART_UNITS)))
+    texts = stored.where("kind <> 1").select("kind", "block", "doc_id", "held_out", "ids", "unit", "n")
+    entries = stored.where("kind = 1").select("block", "slot", "unit", "n")
+    parts = max(1, -(-entries.count() // (2 * PART_UNITS)))
     vocabulary = entries.groupBy("unit").agg(F.sum("n").alias("c")).withColumn("part", F.pmod(F.xxhash64("unit"), F.lit(parts)).cast("int"))
     vocabulary = materialize(vocabulary.repartition(max(parts, spark.sparkContext.defaultParallelism), "part").sortWithinPartitions("part", "unit"), "op3-vocabulary")
     total, kinds = vocabulary.where("c > 0 and substring(unit, 1, 1) <> X'09'").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    release(spark)
 
     windows = materialize(_window_counts(vocabulary), "op3-windows")
-    trees = materialize(_trees(windows.groupBy("win").agg(F.sum("n").alias("n"))), "op3-trees", ["kind"])
-    nodes = trees.where("kind = 1").groupBy("win").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).toArrow()  # at most 65,536 x 255 rows
-    top = spark.sparkContext.broadcast(TopNodes(*(nodes.column(c).to_numpy() if i else nodes.column(c).to_numpy().view(np.uint64) for i, c in enumerate(("win", "zeros", "ones", "below")))))
-    release(spark)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            win = batch.column(0).to_numpy()
-            mixed = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(-1, 8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(top.value.log_probability(win.view(np.uint64), mixed) / _LN10)], ["win", "log"])
-
-    logs = trees.where("kind = 0").select("win", "p").mapInArrow(finish, "win bigint, log double")
+    counts = materialize(windows.groupBy("win").agg(F.sum("n").alias("n")), "op3-counts")
+    logs = materialize(window_logs(counts, top_nodes(counts)), "op3-logs")
+    drop_table(counts)
     needed = windows.select("part", "win").join(logs, "win")
 
     def spell(units: pa.Table, logs: pa.Table) -> pa.Table:
@@ -386,35 +395,35 @@ def score_documents(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> Dat
         return pa.table({"unit": units.column("unit"), "c": units.column("c"), "log": pa.array(np.concatenate(logs_of)), "size": pa.array(np.concatenate(sizes))})
 
     spelled = vocabulary.select("part", "unit", "c").groupBy("part").cogroup(needed.groupBy("part")).applyInArrow(spell, "unit binary, c bigint, log double, size int")
-    spelled = materialize(spelled, "op3-words")
-    release(spark)
+    spelled = materialize(spelled, "op3-units")
+    for done in (windows, logs, vocabulary):
+        drop_table(done)
 
     floor = float(np.log10(total + 0.5 * (kinds + 1)))
     kind = dict(docs.dtypes)["doc_id"]
 
     def add_up(texts: pa.Table, units: pa.Table) -> pa.Table:
-        slot, tail, head, count, logs, sizes = (units.column(c).to_numpy() for c in ("slot", "tail", "head", "c", "log", "size"))
-        word = slot >= 0
-        at = slot[word]
-        c, log, size, tails, heads = np.zeros(len(at), np.int64), np.zeros(len(at)), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        for out, values in ((c, count), (log, logs), (size, sizes), (tails, tail), (heads, head)):
-            out[at] = values[word]
-        base, known = np.log10(c + 0.5) - floor, c > 0
-        width = int(head.max(initial=0)) + 1
-        pairs = tail[~word].astype(np.int64) * width + head[~word]
-        order = np.argsort(pairs)
-        pairs, pair_log, pair_size = pairs[order], logs[~word][order], sizes[~word][order]
+        slot, count, logs, sizes = (units.column(c).to_numpy() for c in ("slot", "c", "log", "size"))
+        order = np.argsort(slot)  # every slot of the block is there once
+        count, logs, sizes = count[order], logs[order], sizes[order]
+        kind = texts.column("kind").to_numpy()
+        (at,) = np.flatnonzero(kind == 2)
+        n_words = texts.column("n")[at].as_py()
+        tails, heads = np.frombuffer(texts.column("ids")[at].as_py(), np.int32).reshape(2, -1).astype(np.int64)
+        pairs = np.frombuffer(texts.column("unit")[at].as_py(), np.int64)
+        base, known = np.log10(count[:n_words] + 0.5) - floor, count[:n_words] > 0
+        texts = texts.filter(pa.array(kind == 0))
         rows = []
         for ids in texts.column("ids"):
             at = np.frombuffer(ids.as_buffer(), np.uint32)
             before = tails[np.concatenate([at[-1:], at[:-1]])]  # a text ends with the end, and begins after one
-            pair = np.searchsorted(pairs, before * width + heads[at])
-            rows.append((len(at), int(known[at].sum()), float(base[at].sum()), float(log[at].sum() + pair_log[pair].sum()), int(size[at].sum() + pair_size[pair].sum())))
+            pair = n_words + np.searchsorted(pairs, before << 32 | heads[at])
+            rows.append((len(at), int(known[at].sum()), float(base[at].sum()), float(logs[at].sum() + logs[pair].sum()), int(sizes[at].sum() + sizes[pair].sum())))
         n_tokens, n_known, base_score, score, n_bytes = zip(*rows) if rows else [()] * 5
         return pa.table(
             {"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": pa.array(score, pa.float64()), "n_bytes": pa.array(n_bytes, pa.int64())}
         )
 
-    known = entries.select("block", "slot", "unit", "tail", "head").join(spelled, "unit").select(F.col("block").alias("of_block"), "slot", "tail", "head", "c", "log", "size")
+    known = entries.select("block", "slot", "unit").join(spelled, "unit").select(F.col("block").alias("of_block"), "slot", "c", "log", "size")
     scored = texts.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(add_up, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, n_bytes bigint")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score", "n_bytes")

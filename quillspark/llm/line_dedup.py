@@ -54,7 +54,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             at = {b[k]: k for k in range(j, n) if b[k] in once}
             chain = _longest_chain([(k, at[a[k]]) for k in range(i, m) if a[k] in once])
         else:
-            line = min(common, key=lambda x: (ca[x] * cb[x], x))
+            line = min(common, key=lambda x: (ca[x] * cb[x], b.index(x, j, n)))
             chain = [(a.index(line, i, m), b.index(line, j, n))]
         for x, y in chain:
             todo.append((i, x, j, y))
@@ -77,19 +77,30 @@ def _longest_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
-    """Positions in ``b`` of aligned blocks that hold at least ``min_words`` of b's ``words``."""
-    out, block, size, last = [], [], 0, None
-    for i, j in [*patience(a, b), (-9, -9)]:
-        if last and (i, j) == (last[0] + 1, last[1] + 1):
-            block.append(j)
-            size += words[j]
-        else:
-            if size >= min_words:
-                out += block
-            block, size = [j], words[j] if j >= 0 else 0
-        last = (i, j)
-    return out
+def common_blocks(a: list, b: list, words: list[int], min_words: int) -> list[int]:
+    """Positions in ``b`` of aligned blocks that hold at least ``min_words`` of b's ``words``.
+
+    What is left of ``b`` is aligned again until no such block is found, so that blocks
+    that stand in another order in ``a`` are found as well.
+    """
+    out: list[int] = []
+    b = list(b)
+    while True:
+        found, block, size, last = [], [], 0, None
+        for i, j in [*patience(a, b), (-9, -9)]:
+            if last and (i, j) == (last[0] + 1, last[1] + 1):
+                block.append(j)
+                size += words[j]
+            else:
+                if size >= min_words:
+                    found += block
+                block, size = [j], words[j] if j >= 0 else 0
+            last = (i, j)
+        if not found:
+            return sorted(out)
+        out += found
+        for j in found:
+            b[j] = (j,)  # like no line
 
 
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
@@ -166,9 +177,9 @@ def dedupe_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     distinct = table.select("ord", "h", "lines", "words", "anchors").dropDuplicates(["ord", "h"])
     pairs = overlapping_pairs(table)
     gone = materialize(deletions(distinct, pairs, min_words), "op10-gone")
-    joined = keyed.join(gone.select(F.col("ord").alias("__ord"), F.col("h").alias("__h"), "gone", F.col("earlier").alias("__earlier")), ["__ord", "__h"], "left")
+    joined = keyed.join(gone.select(F.col("ord").alias("__ord"), F.col("h").alias("__h"), F.col("gone").alias("__gone"), F.col("earlier").alias("__earlier")), ["__ord", "__h"], "left")
     split = F.array(F.split("text", "\n"))
-    kept = F.element_at(F.transform(split, lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i)), "\n")), 1)
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
+    kept = F.element_at(F.transform(split, lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i)), "\n")), 1)
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
     out = [text.alias("text") if c == "text" else F.col(c) for c in names]
-    return joined.select(*out, F.coalesce(F.size("gone"), F.lit(0)).alias("removed_lines"), F.coalesce("__earlier", F.array().cast("array<bigint>")).alias("earlier"))
+    return joined.select(*out, F.coalesce(F.size("__gone"), F.lit(0)).alias("removed_lines"), F.coalesce("__earlier", F.array().cast("array<bigint>")).alias("earlier"))

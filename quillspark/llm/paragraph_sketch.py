@@ -1,8 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
 A text's paragraphs are hashed to 64-bit digests; a paragraph's second, third ... occurrence
-has a digest of its own.  Paragraphs are the non-blank lines; in texts of at most ``SHORT`` characters,
-which have few lines, they are the sentences.  A sketch has cells of (count, digests xor-ed, checks
+has a digest of its own.  Paragraphs are the non-blank lines; shorter texts, which have few
+lines, are cut into sentences (``SHORT``) or words (``TINY``).  A sketch has cells of (count, digests xor-ed, checks
 xor-ed) in three tables, and each digest is in one cell of each table.  Two sketches subtract cell
 by cell, and peeling cells that hold one digest recovers the digests that differ between the texts.
 Where peeling fails, both sketches are made again larger: split into groups by digest, and groups
@@ -26,8 +26,8 @@ CELLS = 8
 GROUP, RETRIES = 8, 4
 #: Rounds of peeling; each takes out every digest that stands alone in a cell.
 ROUNDS = 8
-#: Texts up to this many characters are cut into sentences.
-SHORT = 1500
+#: Texts up to so many characters are cut into words, and into sentences.
+TINY, SHORT = 400, 3000
 _FIRST = -(1 << 63)
 
 
@@ -43,7 +43,7 @@ def digests(text: Column) -> Column:
         return F.transform(sorted_, lambda x, i: F.when(F.get(sorted_, i - 1) == x, F.xxhash64(x, i - F.array_position(sorted_, x) + 1)).otherwise(x))
 
     def cut(t: Column) -> Column:
-        parts = F.when(F.length(t) <= SHORT, F.split(t, r"(?<=[.!?])\s+|\n")).otherwise(F.split(t, "\n"))
+        parts = F.when(F.length(t) <= TINY, F.split(t, r"\s+")).when(F.length(t) <= SHORT, F.split(t, r"(?<=[.!?])\s+|\n")).otherwise(F.split(t, "\n"))
         return let(F.sort_array(F.transform(F.filter(parts, lambda p: F.trim(p) != ""), lambda p: F.xxhash64(p))), number)
 
     return let(F.coalesce(text, F.lit("")), cut)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, context_tree, language, line_dedup, paragraph_sketch, pii, simhash, token_store, toxicity
+from quillspark.llm import bpe, context_tree, decontaminate, language, line_dedup, paragraph_sketch, pii, simhash, token_store, toxicity
 from quillspark.llm.common import crc_bucket, documents, limit_batches
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +23,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("key")
+
+
 def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score_documents(documents(spark, sf_dir), modulus=5, held_out=1)
 
@@ -67,7 +71,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_store, op3_context_tree, op4_paragraph_sketch, op5_language, op6_pii, op7_bpe, op8_simhash, op9_toxicity, op10_line_dedup)
+    found = (op1_token_store, op2_decontaminate, op3_context_tree, op4_paragraph_sketch, op5_language, op6_pii, op7_bpe, op8_simhash, op9_toxicity, op10_line_dedup)
     return {f.__name__: f for f in found}
 
 

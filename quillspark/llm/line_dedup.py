@@ -177,7 +177,7 @@ def dedupe_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     distinct = table.select("ord", "h", "lines", "words", "anchors").dropDuplicates(["ord", "h"])
     pairs = overlapping_pairs(table)
     gone = materialize(deletions(distinct, pairs, min_words), "op10-gone")
-    joined = keyed.join(gone.select(F.col("ord").alias("__ord"), F.col("h").alias("__h"), F.col("gone").alias("__gone"), F.col("earlier").alias("__earlier")), ["__ord", "__h"], "left")
+    joined = keyed.hint("merge").join(gone.select(F.col("ord").alias("__ord"), F.col("h").alias("__h"), F.col("gone").alias("__gone"), F.col("earlier").alias("__earlier")), ["__ord", "__h"], "left")
     split = F.array(F.split("text", "\n"))
     kept = F.element_at(F.transform(split, lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i)), "\n")), 1)
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)

@@ -114,14 +114,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     chosen by a hash of their text and weighted back to the classes' sizes.
     """
     known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
-    rows = docs.where(F.length("text").between(1, sample_chars)).select("doc_id", "text").join(known, "doc_id")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return NoisyOr({}, -40.0, 0.0)
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 32)) / float(1 << 32)
     share = F.create_map(*(F.lit(x) for label, n in sizes.items() for x in (label, 1.2 * sample_docs / n)))
     chosen = known.where(draw < share[F.col("toxic")])
-    rows = docs.where(F.length("text").between(1, sample_chars)).select("doc_id", "text").join(chosen, "doc_id")
+    rows = docs.where(F.length("text").between(1, sample_chars)).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # the draw bounds its rows
     picked = sorted(rows.select("text", "toxic", draw.alias("draw")).collect(), key=lambda r: (r["draw"], r["text"]))
     texts, ys = [], []
     count: Counter = Counter()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded, crc_bucket, drop_table, limit_batches, materialize, parallelism
+from quillspark.llm.common import bounded, crc_bucket, drop_table, limit_batches, materialize, parallelism, release
 
 #: Bytes of context of the deepest nodes; a window (context and symbol) fills 64 bits.
 DEPTH = 7
@@ -398,6 +398,8 @@ def score_documents(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> Dat
     spelled = materialize(spelled, "op3-units")
     for done in (windows, logs, vocabulary):
         drop_table(done)
+    del windows, logs, vocabulary, needed, done
+    release(spark)
 
     floor = float(np.log10(total + 0.5 * (kinds + 1)))
     kind = dict(docs.dtypes)["doc_id"]

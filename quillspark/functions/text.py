@@ -69,8 +69,12 @@ def words(text: Column) -> Column:
 
 def shingles(tokens: Column, k: int) -> Column:
     """Runs of ``k`` tokens, joined by spaces; none where there are fewer."""
-    starts = F.when(F.size(tokens) >= k, F.sequence(F.lit(1), F.size(tokens) - (k - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, k), " "))
+
+    def cut(t: Column) -> Column:  # inside a lambda, so that the tokens are made once and not for every run
+        starts = F.when(F.size(t) >= k, F.sequence(F.lit(1), F.size(t) - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(t, i, k), " "))
+
+    return F.element_at(F.transform(F.array(tokens), cut), 1)
 
 
 def without_lines(text: Column, pattern: str) -> Column:

@@ -41,14 +41,17 @@ def pack(df: DataFrame, keys: list[str], order: str, size: Column, limit: int, m
 
 
 def passages(sentences: Column, least: int = 120, most: int = 600) -> Column:
-    """Passages of consecutive sentences: each is closed at ``least`` characters, and dropped
-    where it is then longer than ``most``; what remains open at the end is lost."""
-    zero = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("out"))
+    """Array of struct<last, text>: passages of consecutive sentences and the number of the last one.
+
+    Each is closed at ``least`` characters, and dropped where it is then longer than
+    ``most``; what remains open at the end is lost.
+    """
+    zero = F.struct(F.lit("").alias("open"), F.lit(0).alias("i"), F.array().cast("array<struct<last:int,text:string>>").alias("out"))
 
     def step(state: Column, sentence: Column) -> Column:
         joined = F.when(state["open"] == "", sentence).otherwise(F.concat(state["open"], F.lit(" "), sentence))
-        closed = F.length(joined) >= least
+        closed, i = F.length(joined) >= least, state["i"] + 1
         kept = closed & (F.length(joined) <= most)
-        return F.struct(F.when(closed, F.lit("")).otherwise(joined).alias("open"), F.when(kept, F.concat(state["out"], F.array(joined))).otherwise(state["out"]).alias("out"))
+        return F.struct(F.when(closed, F.lit("")).otherwise(joined).alias("open"), i.alias("i"), F.when(kept, F.concat(state["out"], F.array(F.struct(i.alias("last"), joined.alias("text"))))).otherwise(state["out"]).alias("out"))
 
     return F.aggregate(sentences, zero, step, lambda s: s["out"])

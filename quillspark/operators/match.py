@@ -78,3 +78,29 @@ def resolve_titles(queries: DataFrame, query: str, titles: DataFrame, title: str
     one = top.groupBy(query, "__tier").agg(F.min("__title").alias("title"), F.count("*").alias("__n")).where("__n = 1")
     via = F.element_at(F.array(F.lit("equal"), F.lit("contained"), F.lit("similar")), F.col("__tier"))
     return q.select(query).join(one.select(query, "title", via.alias("via")), query, "left")
+
+
+def resolve_fuzzy(mentions: DataFrame, mention: str, roster: DataFrame, id_: str, name: str, least: float = 0.85) -> DataFrame:
+    """``mention, id``: the one entity whose folded name is alike to ``least`` (sequence matching).
+
+    Meant for the few distinct names that no exact tier resolved.  Candidates share the first
+    letter of some word, so names are joined on those; two entities that qualify refuse the match.
+    """
+    import difflib
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    key = lambda c: T.fold_name(T.clean_name(F.col(c)))
+    initials = lambda c: F.array_distinct(F.transform(F.split(c, " "), lambda w: F.substring(w, 1, 1)))
+    m = mentions.select(mention).distinct().withColumn("__m", key(mention))
+    r = roster.select(F.col(id_).alias("id"), key(name).alias("__r")).distinct()
+    pairs = m.select(mention, "__m", F.explode(initials(F.col("__m"))).alias("__i")).join(r.select("id", "__r", F.explode(initials(F.col("__r"))).alias("__i")), "__i").select(mention, "__m", "id", "__r").distinct()
+
+    def close(arrays: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in arrays:
+            yield pa.array([difflib.SequenceMatcher(None, x, y).ratio() >= least for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+
+    close.__annotations__ = {"arrays": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    found = pairs.where(F.arrow_udf(close, "boolean")("__m", "__r")).groupBy(mention).agg(F.min("id").alias("id"), F.count_distinct("id").alias("__n")).where("__n = 1").drop("__n")
+    return m.select(mention).join(found, mention, "left")

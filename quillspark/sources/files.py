@@ -37,11 +37,11 @@ def read_either(spark: SparkSession, paths: Paths, schema: str) -> DataFrame:
     """Files of either form, told apart by their first sign that isn't white space, with
     ``file`` and ``ord`` (place in the file, from 0).  Bad lines are left out."""
     kind = _schema(schema)
-    whole = spark.read.option("wholetext", True).text(list(paths) if not isinstance(paths, str) else paths).select(F.input_file_name().alias("file"), F.ltrim("value").alias("value"))
+    whole = spark.read.text(list(paths) if not isinstance(paths, str) else paths, wholetext=True).select(F.input_file_name().alias("file"), F.ltrim("value").alias("value"))
     is_array = F.col("value").startswith("[")
     array = F.from_json("value", f"array<{kind.simpleString()}>")
     checked = f"struct<{kind.simpleString()[7:-1]},_corrupt_record:string>"
-    lines = F.filter(F.transform(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, checked)), lambda r: r["_corrupt_record"].isNull())
+    lines = F.filter(F.transform(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, checked, {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"})), lambda r: r["_corrupt_record"].isNull())
     plain = F.transform(lines, lambda r: F.struct(*(r[n].alias(n) for n in kind.names)))
     return whole.select("file", F.posexplode(F.when(is_array, array).otherwise(plain)).alias("ord", "r")).select("file", "ord", "r.*")
 
@@ -52,7 +52,7 @@ def read_csv(spark: SparkSession, paths: Paths, schema: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, paths: Paths) -> DataFrame:
     """``file, value``: whole text files."""
-    return spark.read.option("wholetext", True).text(list(paths) if not isinstance(paths, str) else paths).select(F.input_file_name().alias("file"), "value")
+    return spark.read.text(list(paths) if not isinstance(paths, str) else paths, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
 
 def source_name(path: Column) -> Column:

@@ -15,8 +15,8 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import cache
-from itertools import filterfalse
+from functools import cache, cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from quillspark.llm.common import bounded
 #: Pieces of up to this many characters go to the library whole.
 LEAF = 256
 #: Entries of the piece cache of one Python worker; it starts anew beyond that.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 600_000
 #: Text bytes that are cut into pieces at a time.
 PART_BYTES = 2 << 20
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
@@ -59,13 +59,20 @@ class TreeEncoder:
         suffix = model.get("end_of_word_suffix") or None
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.suffix = len(suffix) if suffix else 0
-        self.inner = Tokenizer(models.BPE(model["vocab"], merges))
-        self.final = Tokenizer(models.BPE(model["vocab"], merges, end_of_word_suffix=suffix)) if suffix else self.inner
+        self.parts = model["vocab"], merges
+        self.final = Tokenizer(models.BPE(*self.parts, end_of_word_suffix=suffix))
         added = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.text_of = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
         self.ends = {i for t, i in model["vocab"].items() if suffix and t.endswith(suffix)}
 
+    @cached_property
+    def inner(self):
+        """Encodes runs that the end of a word doesn't follow; made for the first long run."""
+        from tokenizers import Tokenizer, models
+
+        return Tokenizer(models.BPE(*self.parts))
+
     def width(self, token: int) -> int:
         """Symbols that a token covers."""
         return len(self.text_of[token]) - (self.suffix if token in self.ends else 0)
@@ -117,25 +124,50 @@ class TreeEncoder:
         return self.library.decode(ids, skip_special_tokens=False)
 
 
+class _Slots(dict):
+    """Numbers of pieces in the order of their first sight; new ones gather in ``fresh``."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.fresh.append(piece)
+        self[piece] = slot = len(self)
+        return slot
+
+
+def _ragged(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """pool[starts[0] : starts[0] + sizes[0]] and so on, one after another."""
+    ends = np.cumsum(sizes)
+    shift = np.repeat(starts - (ends - sizes), sizes)
+    return pool[shift + np.arange(len(shift))]
+
+
 class CachedEncoder:
-    """Encodes and decodes whole texts piece by piece; memory stays bounded."""
+    """Encodes whole texts piece by piece; the ids of known pieces stand in one array.
+
+    All is forgotten before a call once more than ``most`` pieces are known.
+    """
 
-    def __init__(self, tokenizer_json: str, decodes: bool = True, most: int = CACHE_PIECES):
+    def __init__(self, tokenizer_json: str, most: int = CACHE_PIECES):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tree, self.most = TreeEncoder(tokenizer_json), most
-        spec = json.loads(tokenizer_json)
-        self.spaced_decoding = decodes and spec.get("decoder") is None
+        #: Without a decoder the library puts one space between tokens.
+        self.spaced = json.loads(tokenizer_json).get("decoder") is None
+        self.names = [self.tree.text_of.get(i, "") for i in range(1 + max(self.tree.text_of))]
         #: Whether lower-case Latin words pass the normalizer and the pre-tokenizer unchanged, apart from trailing stops and commas.
         self.latin = _PATTERN in tokenizer_json and '"Lowercase"' in tokenizer_json and bool(self.tree.suffix)
         self.plain = Tokenizer(self.tree.final.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.is_end = np.zeros(1 + max(self.tree.text_of), bool)
+        self.is_end = np.zeros(len(self.names), bool)
         self.is_end[list(self.tree.ends)] = True
-        #: Ids are kept in two bytes each where the vocabulary allows.
-        self.kind = "<u2" if max(self.tree.text_of) < 1 << 16 else "<u4"
-        self.ids: dict[str, bytes] = {}
-        self.words: dict[str, str] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.slots = _Slots()
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.starts, self.sizes, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
     def lowered(self, text: str) -> str:
         """Lower case at once where the normalizer would do the same to every character."""
@@ -150,7 +182,7 @@ class CachedEncoder:
 
     def core(self, piece: str) -> tuple[str, str]:
         """A piece as two parts that can be encoded apart; the second may be empty."""
-        if "<" in piece or not (piece.isascii() or max(piece) < _BEYOND_LATIN):
+        if not self.latin or "<" in piece or not (piece.isascii() or max(piece) < _BEYOND_LATIN):
             return piece, ""
         lowered = piece if piece.islower() else piece.lower()
         if lowered.isalpha():
@@ -158,79 +190,79 @@ class CachedEncoder:
         stem = lowered.rstrip(".,")
         return (stem, lowered[len(stem) :]) if stem and stem[-1].isalnum() else (lowered, "")
 
-    def learn(self, split: list[list[str]]) -> None:
-        """Make every piece known; all is forgotten first where the bound would be passed."""
-        unknown: set[str] = set()
-        for pieces in split:
-            unknown.update(filterfalse(self.ids.__contains__, pieces))
-        if len(self.ids) + len(unknown) > self.most:
-            self.ids, self.words = {}, {}
-            unknown = set().union(*split)
-        if not self.latin:
-            self.encode_pieces(unknown)
-            return
-        parts = list(map(self.core, unknown))
-        new = {stem for stem, _ in parts}
-        new.update(tail for _, tail in parts)
-        new.discard("")
-        self.encode_pieces(new)
-        ids, words = self.ids, self.words
-        for p, (stem, tail) in zip(unknown, parts):
-            if tail:
-                ids[p] = ids[stem] + ids[tail]
-            elif p is not stem:
-                ids[p] = ids[stem]
-        if self.spaced_decoding:
-            for p, (stem, tail) in zip(unknown, parts):
-                words[p] = f"{words[stem]} {words[tail]}" if tail else words[stem]
-
-    def encode_pieces(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.ids]
+    def learn(self, fresh: list[str]) -> None:
+        """Store the ids of new pieces, which have the next slots in order."""
+        known = len(self.starts)
+        parts = list(map(self.core, fresh))
+        local = _Slots()  # distinct parts; the first is the empty one
+        order = list(map(local.__getitem__, ["", *(x for pair in parts for x in pair)]))[1:]
+        starts, sizes, missing = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64), []
+        for i, x in enumerate(local.fresh):
+            slot = self.slots.get(x, known)
+            if slot < known:
+                starts[i], sizes[i] = self.starts[slot], self.sizes[slot]
+            elif x:
+                missing.append(i)
+        base = self.used
+        for places, ids, ends in self.encode_pieces([local.fresh[i] for i in missing], np.array(missing, np.int64)):
+            starts[places], sizes[places] = self.used + np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)
+            self.append(ids)
+        pairs = np.array(order, np.int64)
+        ids = _ragged(self.pool, starts[pairs], sizes[pairs])
+        new_sizes = sizes[pairs].reshape(-1, 2).sum(1)
+        self.used = base  # parts that aren't pieces needn't stay
+        self.starts = np.concatenate([self.starts, base + np.cumsum(new_sizes) - new_sizes])
+        self.sizes = np.concatenate([self.sizes, new_sizes])
+        self.append(ids)
+
+    def append(self, ids: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * len(ids), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def encode_pieces(self, pieces: list[str], places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, ids, ends) of groups of pieces, by the library."""
         leaf = self.tree.leaf
-        easy = [p for p in new if len(p) <= leaf and p.isalpha() and (p.isascii() or max(p) < _BEYOND_LATIN) and p.islower()] if self.latin else []
-        for at in range(0, len(easy), 8_000):  # one call for many words, which are told apart by their end symbols
-            part = easy[at : at + 8_000]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            self.add(part, ids, np.flatnonzero(self.is_end[ids]) + 1)
-        rest = set(new).difference(easy)
-        short = [p for p in rest if len(p) <= leaf]
-        for at in range(0, len(short), 4_000):
-            part = short[at : at + 4_000]
-            found = [e.ids for e in self.tree.library.encode_batch_fast(part, add_special_tokens=False)]
-            self.add(part, np.array([i for x in found for i in x], "<u4"), np.cumsum([len(x) for x in found]))
-        for p in rest.difference(short):
-            ids = np.array(self.tree.long_piece(p), "<u4")
-            self.add([p], ids, np.array([len(ids)]))
-
-    def add(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        """Store the ids of pieces that stand one after another."""
-        if len(ends) != len(pieces):
-            raise AssertionError("pieces and their ids don't match")
-        width = int(self.kind[-1])
-        data, stop = ids.astype(self.kind).tobytes(), (width * ends).tolist()
-        start = [0, *stop[:-1]]
-        self.ids.update(zip(pieces, [data[a:b] for a, b in zip(start, stop)]))
-        if self.spaced_decoding:  # without a decoder the library puts one space between tokens
-            names = list(map(self.tree.text_of.__getitem__, ids.tolist()))
-            self.words.update(zip(pieces, [" ".join(names[a // width : b // width]) for a, b in zip(start, stop)]))
-
-    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[list[str]]]:
-        """Ids of each text (of type ``kind``), and the pieces that they came from."""
-        split = [_pieces(self.lowered(t)) if t else [] for t in texts]
-        self.learn(split)
-        known = self.ids.__getitem__
-        return [np.frombuffer(b"".join(map(known, pieces)), self.kind) for pieces in split], split
-
-    def decode(self, ids: np.ndarray, pieces: list[str]) -> str:
-        if self.spaced_decoding:
-            return " ".join(w for w in map(self.words.__getitem__, pieces) if w)
-        return self.tree.decode(ids.tolist())
+        easy = np.array([self.latin and len(p) <= leaf and p.isalpha() and (p.isascii() or max(p) < _BEYOND_LATIN) and p.islower() for p in pieces], bool)
+        words, at = [p for p, e in zip(pieces, easy) if e], places[easy]
+        for k in range(0, len(words), 8_000):  # one call for many words, which are told apart by their end symbols
+            ids = np.array(self.plain.encode_batch_fast([" ".join(words[k : k + 8_000])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(words[k : k + 8_000]):
+                raise AssertionError("words and their ids don't match")
+            yield at[k : k + 8_000], ids, ends
+        rest, at = [p for p, e in zip(pieces, easy) if not e], places[~easy]
+        for k in range(0, len(rest), 4_000):
+            part = rest[k : k + 4_000]
+            short = iter(self.tree.library.encode_batch_fast([p for p in part if len(p) <= leaf], add_special_tokens=False))
+            found = [next(short).ids if len(p) <= leaf else self.tree.long_piece(p) for p in part]
+            yield at[k : k + 4_000], np.array([i for x in found for i in x], np.uint32), np.cumsum([len(x) for x in found])
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if len(self.slots) > self.most:
+            self.forget()
+        slot = self.slots.__getitem__
+        found = [list(map(slot, _pieces(self.lowered(t)))) if t else [] for t in texts]
+        if self.slots.fresh:
+            fresh, self.slots.fresh = self.slots.fresh, []
+            self.learn(fresh)
+        at = np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found)))
+        sizes = self.sizes[at]
+        ids = _ragged(self.pool, self.starts[at], sizes)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(list(map(len, found)))]
+        return np.split(ids, ends[:-1]) if found else []
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The library's decoding, with special tokens kept."""
+        return " ".join(map(self.names.__getitem__, ids.tolist())) if self.spaced else self.tree.decode(ids.tolist())
 
 
 @cache
-def worker_encoder(path: str, decodes: bool) -> CachedEncoder:
+def worker_encoder(path: str) -> CachedEncoder:
     with open(path, encoding="utf-8") as f:
-        return CachedEncoder(f.read(), decodes)
+        return CachedEncoder(f.read())
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, decode: bool = True) -> DataFrame:
@@ -244,15 +276,15 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, decode: bool = True)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = worker_encoder(tokenizer_path, decode)
+        coder = worker_encoder(tokenizer_path)
+        names = ["doc_id", "ids", "n_tokens"] + ["decoded"] * decode
         for batch in bounded(batches, most=PART_BYTES):
-            ids, pieces = coder.encode(batch.column(1).to_pylist())
+            ids = coder.encode(batch.column(1).to_pylist())
             columns = [batch.column(0), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array(list(map(len, ids)), pa.int64())]
-            names = ["doc_id", "ids", "n_tokens"]
             if decode:
-                columns.append(pa.array([coder.decode(x, p) for x, p in zip(ids, pieces)], pa.string()))
-                names.append("decoded")
+                columns.append(pa.array([coder.decode(x) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names)
+        coder.forget()  # other stages may run in this worker next
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, n_tokens bigint" + ", decoded string" * decode)

@@ -25,7 +25,7 @@ from quillspark.llm.common import crc_bucket, limit_batches
 ORDER = 5
 #: Labelled documents of each language that the models are fitted on, and the longest text among them.
 SAMPLE_DOCS, SAMPLE_CHARS = 500, 100_000
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 _RUN = re.compile(r"[^\W\d_]+")
 #: Pieces that aren't language: numbers, keys, mail addresses.
 _MARKED = re.compile(r"[\d@]")
@@ -262,8 +262,8 @@ def identify(model: KneserNey, docs: DataFrame) -> Column:
         langs, limits = scorer.model.langs, scorer.model.limits
         for array in arrays:
             preds, scores, entropies, rejects = [], [], [], []
-            for at in range(0, len(array), 2000):
-                texts = array.slice(at, 2000).to_pylist()
+            for at in range(0, len(array), 500):
+                texts = array.slice(at, 500).to_pylist()
                 total, chars = scorer.texts(texts)
                 for t, n, text in zip(total, chars, texts):
                     if not langs or not text or not any(map(str.isalpha, text)):

@@ -122,7 +122,7 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder = worker_encoder(tokenizer_path, False)
+        coder = worker_encoder(tokenizer_path)
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         held, names, size = [], [], 0
         end = np.array([end_id], np.uint32)
@@ -136,7 +136,7 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             return pa.RecordBatch.from_pydict(row, schema=arrow)
 
         for batch in bounded(batches, most=PART_BYTES):
-            for name, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())[0]):
+            for name, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())):
                 if held and size + len(ids) + 1 > shard_ids:
                     yield flush()
                 held.append(ids)

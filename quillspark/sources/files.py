@@ -37,8 +37,8 @@ def read_either(spark: SparkSession, paths: Paths, schema: str) -> DataFrame:
     """Files of either form, told apart by their first sign that isn't white space, with
     ``file`` and ``ord`` (place in the file, from 0).  Bad lines are left out."""
     kind = _schema(schema)
-    whole = spark.read.text(list(paths) if not isinstance(paths, str) else paths, wholetext=True).select(F.input_file_name().alias("file"), F.ltrim("value").alias("value"))
-    is_array = F.col("value").startswith("[")
+    whole = spark.read.text(list(paths) if not isinstance(paths, str) else paths, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    is_array = F.col("value").rlike(r"^\s*\[")
     array = F.from_json("value", f"array<{kind.simpleString()}>")
     checked = f"struct<{kind.simpleString()[7:-1]},_corrupt_record:string>"
     lines = F.filter(F.transform(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, checked, {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"})), lambda r: r["_corrupt_record"].isNull())

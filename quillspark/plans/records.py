@@ -24,7 +24,7 @@ def extraction_rates(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH k AS (SELECT DISTINCT l_suppkey % 10 AS model, l_partkey AS statement FROM lineitem), r AS (SELECT statement FROM k WHERE model = 0),
 n AS (SELECT model, count(*) AS n, count(r.statement) AS n_both FROM k LEFT JOIN r USING (statement) GROUP BY 1)
-SELECT model, n, n_both, round(n_both / (n + (SELECT count(*) FROM r) - n_both)::DOUBLE, 6) AS jaccard, round(n_both / (SELECT count(*) FROM r)::DOUBLE, 6) AS recall FROM n WHERE model <> 0""")
+SELECT model, n, n_both, round(n_both / (n + (SELECT count(*) FROM r) - n_both)::DOUBLE, 10) AS jaccard, round(n_both / (SELECT count(*) FROM r)::DOUBLE, 10) AS recall FROM n WHERE model <> 0""")
 def model_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Overlap of each model's statements with the reference model's."""
     k = table(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("model"), F.col("l_partkey").alias("statement")).distinct()
@@ -32,7 +32,7 @@ def model_agreement(spark: SparkSession, d: str) -> DataFrame:
     n = k.where("model <> 0").join(r, "statement", "left").groupBy("model").agg(F.count("*").alias("n"), F.count("hit").alias("n_both"))
     total = r.agg(F.count("*").alias("n_ref"))
     rows = n.join(F.broadcast(total))  # a single row
-    return rows.select("model", "n", "n_both", F.round(F.col("n_both") / (F.col("n") + F.col("n_ref") - F.col("n_both")), 6).alias("jaccard"), F.round(F.col("n_both") / F.col("n_ref"), 6).alias("recall"))
+    return rows.select("model", "n", "n_both", F.round(F.col("n_both") / (F.col("n") + F.col("n_ref") - F.col("n_both")), 10).alias("jaccard"), F.round(F.col("n_both") / F.col("n_ref"), 10).alias("recall"))
 
 
 @query("""
@@ -131,12 +131,12 @@ def bloc_gap(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT l_suppkey AS id, l_shipdate, l_discount * 10 AS guess, CASE WHEN l_linenumber % 2 = 0 THEN round(l_tax * 10, 4) END AS checked, l_returnflag AS attr FROM lineitem)
-SELECT attr, count(*) AS n, count(checked) AS n_paired, round(CASE WHEN count(checked) >= 8 THEN covar_pop(CASE WHEN checked IS NOT NULL THEN guess END, checked) / sqrt(var_pop(CASE WHEN checked IS NOT NULL THEN guess END) * var_pop(checked)) END, 6) AS r, round(avg(abs(guess - checked)), 6) AS mean_gap, count(*) FILTER (abs(guess - checked) <= 0.25) AS agree, count(*) FILTER (abs(guess - checked) >= 0.5) AS flips FROM p GROUP BY 1""")
+SELECT attr, count(*) AS n, count(checked) AS n_paired, round(CASE WHEN count(checked) >= 8 THEN covar_pop(CASE WHEN checked IS NOT NULL THEN guess END, checked) / sqrt(var_pop(CASE WHEN checked IS NOT NULL THEN guess END) * var_pop(checked)) END, 10) AS r, round(avg(abs(guess - checked)), 10) AS mean_gap, count(*) FILTER (abs(guess - checked) <= 0.25) AS agree, count(*) FILTER (abs(guess - checked) >= 0.5) AS flips FROM p GROUP BY 1""")
 def guess_vs_checked(spark: SparkSession, d: str) -> DataFrame:
     """How guesses compare with checked scores, where both are there."""
     p = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("attr"), (F.col("l_discount") * 10).alias("guess"), F.when(F.col("l_linenumber") % 2 == 0, F.round(F.col("l_tax") * 10, 4)).alias("checked"))
     gap = F.abs(F.col("guess") - F.col("checked"))
-    return p.groupBy("attr").agg(F.count("*").alias("n"), F.count("checked").alias("n_paired"), F.round(stats.pearson(F.col("guess"), F.col("checked"), 8), 6).alias("r"), F.round(F.avg(gap), 6).alias("mean_gap"), F.count_if(gap <= 0.25).alias("agree"), F.count_if(gap >= 0.5).alias("flips"))
+    return p.groupBy("attr").agg(F.count("*").alias("n"), F.count("checked").alias("n_paired"), F.round(stats.pearson(F.col("guess"), F.col("checked"), 8), 10).alias("r"), F.round(F.avg(gap), 10).alias("mean_gap"), F.count_if(gap <= 0.25).alias("agree"), F.count_if(gap >= 0.5).alias("flips"))
 
 
 @query("""

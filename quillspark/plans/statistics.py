@@ -126,7 +126,7 @@ def consistency_rate(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH k AS (SELECT l_returnflag AS attr, l_partkey AS key, avg(l_discount) AS score FROM lineitem GROUP BY 1, 2), n AS (SELECT attr, count(*) n FROM k GROUP BY 1),
 j AS (SELECT a.attr AS a, b.attr AS b, count(*) n_both, covar_pop(a.score, b.score) c, var_pop(a.score) va, var_pop(b.score) vb, avg(abs(a.score - b.score)) gap FROM k a JOIN k b ON a.key = b.key AND a.attr < b.attr GROUP BY 1, 2)
-SELECT a, b, n_both, round(CASE WHEN n_both >= 30 AND va > 0 AND vb > 0 THEN c / sqrt(va * vb) END, 6) AS r, round(n_both / (na.n + nb.n - n_both)::DOUBLE, 6) AS jaccard, round(n_both / na.n::DOUBLE, 6) AS share_a, round(n_both / nb.n::DOUBLE, 6) AS share_b, round(gap, 6) AS mean_gap
+SELECT a, b, n_both, round(CASE WHEN n_both >= 30 AND va > 0 AND vb > 0 THEN c / sqrt(va * vb) END, 10) AS r, round(n_both / (na.n + nb.n - n_both)::DOUBLE, 10) AS jaccard, round(n_both / na.n::DOUBLE, 10) AS share_a, round(n_both / nb.n::DOUBLE, 10) AS share_b, round(gap, 10) AS mean_gap
 FROM j JOIN n na ON na.attr = a JOIN n nb ON nb.attr = b""")
 def attribute_overlap(spark: SparkSession, d: str) -> DataFrame:
     """How far two attributes score the same statements, and agree where they do."""
@@ -135,19 +135,19 @@ def attribute_overlap(spark: SparkSession, d: str) -> DataFrame:
     a, b = k.select(F.col("attr").alias("a"), "key", F.col("score").alias("x")), k.select(F.col("attr").alias("b"), "key", F.col("score").alias("y"))
     j = a.join(b, "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_both"), stats.pearson(F.col("x"), F.col("y"), 30).alias("r"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("gap"))
     j = j.join(n.select(F.col("attr").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("attr").alias("b"), F.col("n").alias("nb")), "b")
-    share = lambda whole: F.round(stats.ratio(F.col("n_both"), whole), 6)
-    return j.select("a", "b", "n_both", F.round("r", 6).alias("r"), share(F.col("na") + F.col("nb") - F.col("n_both")).alias("jaccard"), share(F.col("na")).alias("share_a"), share(F.col("nb")).alias("share_b"), F.round("gap", 6).alias("mean_gap"))
+    share = lambda whole: F.round(stats.ratio(F.col("n_both"), whole), 10)
+    return j.select("a", "b", "n_both", F.round("r", 10).alias("r"), share(F.col("na") + F.col("nb") - F.col("n_both")).alias("jaccard"), share(F.col("na")).alias("share_a"), share(F.col("nb")).alias("share_b"), F.round("gap", 10).alias("mean_gap"))
 
 
 @query("""
 WITH p AS (SELECT lang, quality::DOUBLE AS gold, least(1.0, n_chars / 4000.0) AS pred FROM documents JOIN labels USING (doc_id))
-SELECT lang, count(*) AS n, round(avg(abs(pred - gold)), 6) AS mae, round(sqrt(avg((pred - gold) * (pred - gold))), 6) AS rmse, round(avg(CASE WHEN (pred >= 0.5) = (gold >= 0.5) THEN 1.0 ELSE 0.0 END), 6) AS binary_accuracy,
-  round(CASE WHEN count(*) >= 2 AND var_pop(gold) > 0 AND var_pop(pred) > 0 THEN covar_pop(gold, pred) / sqrt(var_pop(gold) * var_pop(pred)) END, 6) AS r FROM p GROUP BY 1""")
+SELECT lang, count(*) AS n, round(avg(abs(pred - gold)), 10) AS mae, round(sqrt(avg((pred - gold) * (pred - gold))), 10) AS rmse, round(avg(CASE WHEN (pred >= 0.5) = (gold >= 0.5) THEN 1.0 ELSE 0.0 END), 10) AS binary_accuracy,
+  round(CASE WHEN count(*) >= 2 AND var_pop(gold) > 0 AND var_pop(pred) > 0 THEN covar_pop(gold, pred) / sqrt(var_pop(gold) * var_pop(pred)) END, 10) AS r FROM p GROUP BY 1""")
 def error_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Errors of a heuristic prediction of the quality label, by language."""
     pairs = table(spark, d, "documents").select("doc_id", "lang", F.least(F.lit(1.0), F.col("n_chars") / 4000.0).alias("pred")).join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("gold")), "doc_id")
     out = pairs.groupBy("lang").agg(*stats.error_metrics(F.col("gold"), F.col("pred")))
-    return out.select("lang", "n", *(F.round(c, 6).alias(c) for c in ("mae", "rmse", "binary_accuracy", "r")))
+    return out.select("lang", "n", *(F.round(c, 10).alias(c) for c in ("mae", "rmse", "binary_accuracy", "r")))
 
 
 @query("""
@@ -241,14 +241,14 @@ def coverage_buckets(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH t AS (SELECT l_suppkey AS entity, l_returnflag AS attr, avg(l_discount) * 10 AS s, count(*) AS n FROM lineitem WHERE l_suppkey % 5 <> 0 GROUP BY 1, 2),
 r AS (SELECT l_suppkey AS entity, 'R' AS attr, avg(o_totalprice) / 500000 AS s, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey % 4 = 0 GROUP BY 1)
-SELECT coalesce(r.entity, t.entity) AS entity, coalesce(r.attr, t.attr) AS attr, round(coalesce(r.s, t.s), 6) AS score, coalesce(r.n, t.n) AS n, CASE WHEN r.entity IS NOT NULL THEN 'record' ELSE 'text' END AS tier FROM t FULL JOIN r ON t.entity = r.entity AND t.attr = r.attr""")
+SELECT coalesce(r.entity, t.entity) AS entity, coalesce(r.attr, t.attr) AS attr, round(coalesce(r.s, t.s), 10) AS score, coalesce(r.n, t.n) AS n, CASE WHEN r.entity IS NOT NULL THEN 'record' ELSE 'text' END AS tier FROM t FULL JOIN r ON t.entity = r.entity AND t.attr = r.attr""")
 def record_overrides_text(spark: SparkSession, d: str) -> DataFrame:
     """Scores from the record replace those from text; entities of either kind are kept."""
     lines = table(spark, d, "lineitem")
     t = lines.where("l_suppkey % 5 <> 0").groupBy(F.col("l_suppkey").alias("entity"), F.col("l_returnflag").alias("attr")).agg((F.avg("l_discount") * 10).alias("ts"), F.count("*").alias("tn"))
     r = lines.where("l_suppkey % 4 = 0").select("l_suppkey", "l_orderkey").join(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), F.col("l_orderkey") == F.col("o_orderkey"))
     r = r.groupBy(F.col("l_suppkey").alias("entity"), F.lit("R").alias("attr")).agg((F.avg("o_totalprice") / 500000).alias("rs"), F.count("*").alias("rn"))
-    return t.join(r, ["entity", "attr"], "full").select("entity", "attr", F.round(F.coalesce("rs", "ts"), 6).alias("score"), F.coalesce("rn", "tn").alias("n"), F.when(F.col("rn").isNotNull(), "record").otherwise("text").alias("tier"))
+    return t.join(r, ["entity", "attr"], "full").select("entity", "attr", F.round(F.coalesce("rs", "ts"), 10).alias("score"), F.coalesce("rn", "tn").alias("n"), F.when(F.col("rn").isNotNull(), "record").otherwise("text").alias("tier"))
 
 
 @query("""
@@ -271,7 +271,7 @@ def missing_entities(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE), event_type ORDER BY ts, event_id) - 1 AS repeat_no FROM events), q AS (SELECT user_id, CAST(ts AS DATE) AS d, event_type, repeat_no, least(1.0, value / 100) AS s FROM p)
-SELECT a.event_type, count(*) AS n_pairs, round(avg(abs(a.s - b.s)), 6) AS mean_gap, count(*) FILTER (abs(a.s - b.s) <= 0.25) AS agree, count(*) FILTER ((a.s >= 0.5) <> (b.s >= 0.5)) AS flips FROM q a JOIN q b ON a.user_id = b.user_id AND a.d = b.d AND a.event_type = b.event_type AND a.repeat_no = 0 AND b.repeat_no = 1 GROUP BY 1""")
+SELECT a.event_type, count(*) AS n_pairs, round(avg(abs(a.s - b.s)), 10) AS mean_gap, count(*) FILTER (abs(a.s - b.s) <= 0.25) AS agree, count(*) FILTER ((a.s >= 0.5) <> (b.s >= 0.5)) AS flips FROM q a JOIN q b ON a.user_id = b.user_id AND a.d = b.d AND a.event_type = b.event_type AND a.repeat_no = 0 AND b.repeat_no = 1 GROUP BY 1""")
 def self_consistency(spark: SparkSession, d: str) -> DataFrame:
     """Gap between the first two scores of the same thing, and how many agree or flip."""
     keys = ["user_id", "day", "event_type"]
@@ -279,7 +279,7 @@ def self_consistency(spark: SparkSession, d: str) -> DataFrame:
     e = e.withColumn("repeat_no", F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "event_id")) - 1)
     both = e.where("repeat_no < 2").groupBy(*keys).agg(F.max(F.when(F.col("repeat_no") == 0, F.col("s"))).alias("a"), F.max(F.when(F.col("repeat_no") == 1, F.col("s"))).alias("b")).where("b is not null")
     gap = F.abs(F.col("a") - F.col("b"))
-    return both.groupBy("event_type").agg(F.count("*").alias("n_pairs"), F.round(F.avg(gap), 6).alias("mean_gap"), F.count_if(gap <= 0.25).alias("agree"), F.count_if((F.col("a") >= 0.5) != (F.col("b") >= 0.5)).alias("flips"))
+    return both.groupBy("event_type").agg(F.count("*").alias("n_pairs"), F.round(F.avg(gap), 10).alias("mean_gap"), F.count_if(gap <= 0.25).alias("agree"), F.count_if((F.col("a") >= 0.5) != (F.col("b") >= 0.5)).alias("flips"))
 
 
 @query("""

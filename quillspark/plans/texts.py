@@ -178,10 +178,10 @@ def scored_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT l_suppkey AS id, l_returnflag AS attr, avg(l_discount) AS score, count(*) AS n FROM lineitem GROUP BY 1, 2)
-SELECT id, s_name AS name, round(max(score) FILTER (attr = 'A'), 6) AS "A", max(n) FILTER (attr = 'A') AS "A_n", round(max(score) FILTER (attr = 'N'), 6) AS "N", max(n) FILTER (attr = 'N') AS "N_n", round(max(score) FILTER (attr = 'R'), 6) AS "R", max(n) FILTER (attr = 'R') AS "R_n" FROM s JOIN supplier ON id = s_suppkey GROUP BY 1, 2""")
+SELECT id, s_name AS name, round(max(score) FILTER (attr = 'A'), 10) AS "A", max(n) FILTER (attr = 'A') AS "A_n", round(max(score) FILTER (attr = 'N'), 10) AS "N", max(n) FILTER (attr = 'N') AS "N_n", round(max(score) FILTER (attr = 'R'), 10) AS "R", max(n) FILTER (attr = 'R') AS "R_n" FROM s JOIN supplier ON id = s_suppkey GROUP BY 1, 2""")
 def published_bundle(spark: SparkSession, d: str) -> DataFrame:
     """Wide card of each entity: a score and its number for every attribute."""
-    long = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id"), F.col("l_returnflag").alias("attr")).agg(F.round(F.avg("l_discount"), 6).alias("score"), F.count("*").alias("n"))
+    long = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id"), F.col("l_returnflag").alias("attr")).agg(F.round(F.avg("l_discount"), 10).alias("score"), F.count("*").alias("n"))
     return evidence.wide_scores(long, ["A", "N", "R"]).join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), "id")
 
 

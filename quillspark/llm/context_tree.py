@@ -35,7 +35,7 @@ HEAD, TAIL = 3, 2
 #: Text bytes of a block, and units of a vocabulary part: what one task holds at a time.
 BLOCK_BYTES, PART_UNITS = 32 << 20, 400_000
 #: Windows whose trees one task builds at a time (whole three-byte contexts).
-TREE_WINDOWS = 1 << 20
+TREE_WINDOWS = 1 << 19
 #: The end of a text stands in dictionaries as a lone space, which no word can be.
 END, HEAD_MARK = b" ", b"\t"
 TERMINATOR, END_SYMBOL = 0x20, 0x0A
@@ -232,8 +232,8 @@ def blocks(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
             counts = np.bincount(all_ids, learned, len(words)).astype(np.int64)
             before = np.concatenate([[tail_end], tail[all_ids[:-1]]])
             before[ends[:-1]] = tail_end
-            pairs, where = np.unique(before.astype(np.int64) * len(heads) + head[all_ids], return_inverse=True)
-            pair_counts = np.bincount(where, learned, len(pairs)).astype(np.int64)
+            parts = (slice(at, at + 1_000_000) for at in range(0, len(all_ids), 1_000_000))
+            pairs, pair_counts = _summed((before[to].astype(np.int64) * len(heads) + head[all_ids[to]], learned[to]) for to in parts)
             for ids, (doc_ids, out) in held:
                 n = len(ids)
                 yield table(n, kind=pa.array(np.zeros(n, np.int32)), block=pa.array(np.full(n, seq)), doc_id=doc_ids, held_out=pa.array(out), ids=pa.array([x.tobytes() for x in ids], pa.binary()))
@@ -269,6 +269,17 @@ def blocks(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
     return rows.mapInArrow(run, out)
 
 
+def _summed(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their weights, over (keys, weights) that are made one part at a time."""
+    keys, sums = [], []
+    for key, weight in parts:
+        distinct, where = np.unique(key, return_inverse=True)
+        keys.append(distinct)
+        sums.append(np.bincount(where, weight, len(distinct)).astype(np.int64))
+    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+    return distinct, np.bincount(where, np.concatenate(sums), len(distinct)).astype(np.int64)
+
+
 def _window_counts(vocabulary: DataFrame) -> DataFrame:
     """``part, win, n`` of the vocabulary's windows, once for each part that a task reads."""
 
@@ -276,13 +287,16 @@ def _window_counts(vocabulary: DataFrame) -> DataFrame:
         part, words, counts = None, [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
+            def spelled() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for at in range(0, len(words), 100_000):
+                    windows, index = unit_windows(words[at : at + 100_000])
+                    yield windows, np.array(counts[at : at + 100_000], float)[index]
+
             if words:
-                windows, index = unit_windows(words)
-                win, where = np.unique(windows, return_inverse=True)
-                n = np.bincount(where, np.array(counts, float)[index], len(win))
+                win, n = _summed(spelled())
                 for at in range(0, len(win), 200_000):
                     w = win[at : at + 200_000].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), part, np.int32)), pa.array(w), pa.array(n[at : at + 200_000].astype(np.int64))], ["part", "win", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), part, np.int32)), pa.array(w), pa.array(n[at : at + 200_000])], ["part", "win", "n"])
             words.clear(), counts.clear()
 
         for batch in batches:

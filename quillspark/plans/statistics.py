@@ -171,9 +171,9 @@ def group_deviation(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("grp")).agg(F.count("*").alias("n"), F.avg("s_acctbal").alias("mean"), (F.count_if(F.col("s_acctbal") < 0) * 2 > F.count("*")).alias("mostly_negative"))
     house = g.agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("house"))
     large = F.when(F.col("n") >= 3, F.col("mean"))
-    rows = g.join(F.broadcast(house))  # a single row
-    widest = F.max(F.abs(large - F.col("house"))).over(Window.partitionBy(F.lit(0)))  # groups, not entities
-    return rows.select("grp", "n", (F.col("n") < 3).alias("too_small"), "mostly_negative", F.round(large, 6).alias("mean"), F.round((large - F.col("house")) / F.nullif(widest, F.lit(0.0)), 6).alias("deviation"))
+    rows = g.join(F.broadcast(house))  # single rows, both
+    rows = rows.join(F.broadcast(rows.agg(F.max(F.abs(large - F.col("house"))).alias("widest"))))
+    return rows.select("grp", "n", (F.col("n") < 3).alias("too_small"), "mostly_negative", F.round(large, 6).alias("mean"), F.round((large - F.col("house")) / F.nullif(F.col("widest"), F.lit(0.0)), 6).alias("deviation"))
 
 
 @query("""SELECT l_returnflag AS attr, CAST(least(19, greatest(0, floor(l_discount * 10 * 20))) AS INTEGER) AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2""")

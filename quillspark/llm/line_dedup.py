@@ -6,14 +6,15 @@ Each anchor that several documents share links every later holder to the earlies
 so the pairs grow with the text and never with the square of a group, and no anchor is too
 frequent to be used.  Each pair of overlapping documents is aligned with patience diff on line hashes.
 Blocks of consecutive aligned lines with ``min_words`` words or more are deleted from the
-later document.
+later document, and so are blocks that cross the alignment.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from quillspark.llm.common import bounded, limit_batches, materialize
 #: Words of the shortest block that is deleted.
 MIN_WORDS = 20
 _LAST = (1 << 63) - 1
+_PRIME, _BASE = (1 << 89) - 1, 0x9E3779B97F4A7C15F39CC0
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -78,29 +80,67 @@ def _longest_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: list, b: list, words: list[int], min_words: int) -> list[int]:
-    """Positions in ``b`` of aligned blocks that hold at least ``min_words`` of b's ``words``.
+    """Positions in ``b`` of all runs of lines that stand in ``a`` as well and hold at least ``min_words`` of b's ``words``.
 
-    What is left of ``b`` is aligned again until no such block is found, so that blocks
-    that stand in another order in ``a`` are found as well.
+    Runs that cross the alignment are found by their shortest parts of ``min_words`` words.
     """
-    out: list[int] = []
-    b = list(b)
-    while True:
-        found, block, size, last = [], [], 0, None
-        for i, j in [*patience(a, b), (-9, -9)]:
-            if last and (i, j) == (last[0] + 1, last[1] + 1):
-                block.append(j)
-                size += words[j]
-            else:
-                if size >= min_words:
-                    found += block
-                block, size = [j], words[j] if j >= 0 else 0
-            last = (i, j)
-        if not found:
-            return sorted(out)
-        out += found
-        for j in found:
-            b[j] = (j,)  # like no line
+    out, block, size, last = set(), [], 0, None
+    for i, j in [*patience(a, b), (-9, -9)]:
+        if last and (i, j) == (last[0] + 1, last[1] + 1):
+            block.append(j)
+            size += words[j]
+        else:
+            if size >= min_words:
+                out.update(block)
+            block, size = [j], words[j] if j >= 0 else 0
+        last = (i, j)
+    return sorted(out | crossing_runs(a, b, words, min_words))
+
+
+def crossing_runs(a: list, b: list, words: list[int], min_words: int) -> set[int]:
+    """Positions in ``b`` of all common runs of at least ``min_words`` words, wherever they stand in ``a``.
+
+    Such a run is covered by the shortest parts of ``min_words`` words that begin, and those
+    that end, at its lines; equal lines hold equally many words, so both sides are cut alike.
+    """
+    weight = dict(zip(b, words))
+    number = {x: k for k, x in enumerate(weight, 1)}
+    marks = [0] * (len(b) + 1)
+    for way in (1, -1):
+        runs = _shortest([weight.get(x) for x in a[::way]], min_words)
+        known = set(_run_hashes([number.get(x, 0) for x in a[::way]], runs))
+        runs = list(_shortest(words[::way], min_words))
+        for (j, n), h in zip(runs, _run_hashes([number[x] for x in b[::way]], runs)):
+            if h in known:
+                j, n = (j, n) if way == 1 else (len(b) - n, len(b) - j)
+                marks[j] += 1
+                marks[n] -= 1
+    return {j for j, depth in enumerate(accumulate(marks)) if depth}
+
+
+def _run_hashes(numbers: list[int], runs: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Length and hash of each run (start, end), from the hashes of all beginnings."""
+    begun, power = [0], [1]
+    for x in numbers:
+        begun.append((begun[-1] * _BASE + x) % _PRIME)
+        power.append(power[-1] * _BASE % _PRIME)
+    for i, m in runs:
+        yield m - i, (begun[m] - begun[i] * power[m - i]) % _PRIME
+
+
+def _shortest(words: list[int | None], min_words: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the shortest run of ``min_words`` words from each position; none crosses a None."""
+    end, total = 0, 0
+    for start in range(len(words)):
+        if end < start:
+            end, total = start, 0
+        while total < min_words and end < len(words) and words[end] is not None:
+            total += words[end]
+            end += 1
+        if total >= min_words:
+            yield start, end
+        if end > start:
+            total -= words[start]
 
 
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:

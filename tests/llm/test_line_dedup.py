@@ -22,6 +22,42 @@ def test_patience_is_a_common_subsequence():
     assert ld.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
 
 
+def plain_runs(a, b, words, min_words):
+    """Lines of b in any common run of lines with min_words words, by trying all pairs of positions."""
+    out = set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if sum(words[j : j + n]) >= min_words:
+                out |= set(range(j, j + n))
+    return sorted(out)
+
+
+def test_a_long_run_across_short_shared_lines():
+    long_run = ["p1", "p2", "p3"]
+    a = [*long_run, "h1", "x", "h2", "y", "h3"]
+    b = ["h1", "u", "h2", "v", "h3", *long_run]
+    words = [20 if x in long_run else 2 for x in b]
+    assert ld.common_blocks(a, b, words, 20) == [5, 6, 7]
+    assert ld.common_blocks(b, a, [20 if x in long_run else 2 for x in a], 20) == [0, 1, 2]
+
+
+def test_all_common_runs_are_found():
+    rng = random.Random(8)
+    for _ in range(1500):
+        kinds = rng.choice([3, 8, 30])
+        weight = [rng.choice([0, 1, 2, 5, 12, 25]) for _ in range(kinds)]
+        a, b = ([rng.randrange(kinds) for _ in range(rng.randint(0, 20))] for _ in range(2))
+        for _ in range(rng.randint(0, 3)):  # planted runs
+            at, n = rng.randint(0, len(a)), rng.randint(1, 6)
+            to = rng.randint(0, len(b))
+            b[to:to] = a[at : at + n]
+        words = [weight[x] for x in b]
+        assert ld.common_blocks(a, b, words, 20) == plain_runs(a, b, words, 20)
+
+
 def plain(rows, min_words):
     """Every later document against every earlier one, over all pairs of distinct ids."""
     out = []

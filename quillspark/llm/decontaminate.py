@@ -2,11 +2,13 @@
 
 Texts are canonicalised to templates: numbers, names (capitalised words inside a sentence)
 and units after numbers become typed placeholders, all else is lower-cased words.  Windows of
-``WINDOW`` template tokens of a benchmark item are hash-joined with those of the documents; every
-hit gives an alignment (document, item, offset).  Along it the templates are compared
-token by token, and the slots must be consistent: one value of the item stands for one value
-in the document, and different ones for different ones.  So an item that is copied with other
-numbers or names is found, while mere likeness of form is not.  Everything is built from SQL functions.
+``WINDOW`` template tokens of a benchmark item, at every token, are hash-joined with those of the documents;
+windows poor in literal words are joined by their values.  Every hit gives an alignment (document,
+item, offset).  Along it the templates are compared token by token, and the slots must be consistent: one
+value of the item stands for one value in the document, and different ones for different
+ones.  So an item that is copied with other numbers or names is found, while mere likeness of
+form is not.
+Everything is built from SQL functions.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import materialize
 
-#: Template tokens of a window; the step between an item's windows; literal words that a window must hold.
-WINDOW, STEP, LITERALS = 8, 3, 5
+#: Template tokens of a window; literal words below which a window is matched by the values of its slots.
+WINDOW, LITERALS = 8, 5
 #: Items are matched whole down to this many tokens.
 SHORTEST = 5
 #: Share of an item's tokens, or number of them, that makes a leak.
@@ -58,14 +60,20 @@ def template(text: Column) -> Column:
     return F.filter(F.split(F.lower(bare), _GAP), lambda t: t != "")
 
 
-def _windows(hashes: Column, size: int) -> Column:
-    """Hashes of all windows of ``size`` token hashes, in order."""
-    starts = F.when(F.size(hashes) >= size, F.sequence(F.lit(1), F.size(hashes) - (size - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, size)))
+def _windows(tokens: Column, size: int) -> Column:
+    """Hashes of all windows of ``size`` of the ``values`` of a text, in order: of their template, or of
+    the values themselves where fewer than ``LITERALS`` are literal."""
+    slot = lambda t: F.substring(t, 1, 1).isin(_NAME, _NUMBER, _UNIT)
+    bare = F.array(F.transform(tokens, lambda t: F.xxhash64(F.when(slot(t), F.substring(t, 1, 1)).otherwise(t))))
+    full = F.array(F.transform(tokens, lambda t: F.xxhash64(t)))
+    starts = F.when(F.size(tokens) >= size, F.sequence(F.lit(1), F.size(tokens) - (size - 1))).otherwise(F.array().cast("array<int>"))
 
+    def hashes(b: Column, f: Column) -> Column:
+        # a literal's two hashes are equal
+        kinds = F.array(F.transform(F.arrays_zip(b.alias("b"), f.alias("f")), lambda x: F.when(x["b"] == x["f"], 1).otherwise(0)))
+        return _let(kinds[0], lambda k: F.transform(starts, lambda i: F.when(F.size(F.array_remove(F.slice(k, i, size), 0)) >= min(LITERALS, size), F.xxhash64(F.slice(b, i, size))).otherwise(F.xxhash64(F.slice(f, i, size), F.lit(1)))))
 
-def _hashes(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.xxhash64(t))
+    return _let(bare[0], lambda b: _let(full[0], lambda f: hashes(b, f)))
 
 
 def _key(docs: DataFrame) -> Column:
@@ -79,18 +87,13 @@ def _sized(df: DataFrame) -> DataFrame:
 
 def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``key, item_id, offset``: where a window of an item stands in a document, as the
-    difference of the two positions.  ``items`` holds item_id and its template ``tokens``."""
-    n = F.size("tokens")
-    size = F.least(F.lit(WINDOW), n)
-    last = n - size
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(STEP)), F.array(last)))
-    cut = items.where(n >= SHORTEST).select("item_id", "tokens", size.alias("size"), F.explode(starts).alias("start"))
-    piece = F.slice("tokens", F.col("start") + 1, F.col("size"))
-    cut = cut.where(F.size(F.filter(piece, lambda t: ~t.isin(_NAME, _NUMBER, _UNIT))) >= F.least(F.lit(LITERALS), F.col("size")))
-    wanted = materialize(cut.select("item_id", "size", "start", F.xxhash64(_hashes(piece)).alias("window")), "op2-windows")
+    difference of the two positions.  ``items`` holds item_id and its ``values``."""
+    n = F.size("values")
+    sized = items.where(n >= SHORTEST).select("item_id", "values", F.least(F.lit(WINDOW), n).alias("size"))
+    by_length = F.coalesce(*(F.when(F.col("size") == s, _windows(F.col("values"), s)) for s in range(SHORTEST, WINDOW + 1)))
+    wanted = materialize(sized.select("item_id", "size", F.posexplode(by_length).alias("start", "window")), "op2-windows")
     sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect()) or [WINDOW]  # SHORTEST to WINDOW
-    hashed = F.array(_hashes(template(F.col("text"))))
-    found = F.element_at(F.transform(hashed, lambda h: F.array(*(F.struct(F.lit(s).alias("size"), _windows(h, s).alias("windows")) for s in sizes))), 1)
+    found = _let(values(F.col("text")), lambda v: F.array(*(F.struct(F.lit(s).alias("size"), _windows(v, s).alias("windows")) for s in sizes)))
     by_size = docs.select(_key(docs).alias("key"), F.explode(found).alias("f")).select("key", "f.size", F.posexplode("f.windows").alias("pos", "window"))
     hits = by_size.join(_sized(wanted), ["size", "window"])
     return hits.select("key", "item_id", (F.col("pos") - F.col("start")).alias("offset")).distinct()
@@ -108,7 +111,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     one row; an empty table on either side gives an empty table.  Other columns are ignored.
     """
     items = materialize(benchmark.select("item_id", template(F.col("text")).alias("tokens"), values(F.col("text")).alias("values")), "op2-items")
-    hits = materialize(alignments(docs, items.select("item_id", "tokens")), "op2-hits")
+    hits = materialize(alignments(docs, items.select("item_id", "values")), "op2-hits")
     keys = materialize(hits.select("key").distinct(), "op2-keys")
     keyed = docs.select("doc_id", "text", _key(docs).alias("key"))
     texts = keyed.join(_sized(keys), "key").dropDuplicates(["key"]).select("key", "doc_id", template(F.col("text")).alias("d_tokens"), values(F.col("text")).alias("d_values"))

@@ -34,6 +34,15 @@ def test_slots_must_be_consistent(spark):
     assert sorted(str(r["doc_id"]) for r in clean.collect()) == ["3", "4", "5", "6", "9"]
 
 
+def test_windows_poor_in_words_and_at_any_token(spark):
+    sums, people = "What is 7 times 8", "Meet Anna Maria Pedro Ivan Olga Peter today"
+    words = " ".join(f"word{chr(97 + k)}" for k in range(17))
+    part = words.split()[1:10]  # nine tokens from the second on
+    items = [(1, sums), (2, people), (3, words)]
+    rows = [(1, "so, what is 7 times 8 then"), (2, f"I said: {people.replace('Meet', 'meet')} or not"), (3, "other start " + " ".join(part) + " other end"), (4, "so, what is 7 times 9 then"), (5, "nothing of all that")]
+    assert {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(docs_of(spark, rows), bench(spark, items)).collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_empty_sides(spark):
     none = bench(spark, [])
     assert dc.find_leaks(docs_of(spark, [(1, ITEM)]), none).count() == 0

@@ -7,7 +7,7 @@ windows poor in literal words are joined by their values.  Every hit gives an al
 item, offset).  Along it the templates are compared token by token, and the slots must be consistent: one
 value of the item stands for one value in the document, and different ones for different
 ones.  So an item that is copied with other numbers or names is found, while mere likeness of
-form is not.
+form is not.  Where slots contradict each other, each run of matched tokens is judged by itself.
 Everything is built from SQL functions.
 """
 
@@ -99,12 +99,38 @@ def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
     return hits.select("key", "item_id", (F.col("pos") - F.col("start")).alias("offset")).distinct()
 
 
+def _each_run(rows: DataFrame) -> DataFrame:
+    """``rows`` whose slots contradict each other, with ``equal`` cut to what can be trusted.
+
+    A run of at least a window's length is trusted whole where its values are the item's, or where no value of
+    the item stands for two; in the latter, slots of different values that became one don't match.
+    Besides trusted runs, only tokens of equal value match.  Rows without a trusted run go.
+    """
+    size = F.least(F.lit(WINDOW), F.size("tokens"))
+    where = "key", "item_id", "offset"
+    runs = lambda places: F.transform(places, lambda x, k: F.struct((x - k).alias("run"), x.alias("i")))
+    slot = lambda i: F.get("tokens", i).isin(_NAME, _NUMBER, _UNIT)
+    ours, theirs = lambda i: F.get("values", i), lambda i: F.get("d_values", i + F.col("offset"))
+    same = F.filter("equal", lambda i: ours(i) == theirs(i))
+    rows = rows.withColumn("same", same).withColumn("kind", F.explode(F.array(F.lit(True), F.lit(False))))
+    rows = rows.withColumn("runs", runs(F.when(F.col("kind"), F.col("same")).otherwise(F.col("equal"))))
+    rows = rows.withColumn("run", F.explode(F.array_distinct(F.transform("runs", lambda r: r["run"]))))
+    rows = rows.withColumn("places", F.transform(F.filter("runs", lambda r: r["run"] == F.col("run")), lambda r: r["i"])).where(F.size("places") >= size)
+    rows = rows.withColumn("slots", F.array_distinct(F.transform(F.filter("places", slot), lambda i: F.struct(ours(i).alias("b"), theirs(i).alias("d")))))
+    one = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["b"])))
+    rows = rows.where(F.col("kind") | one)
+    clear = lambda i: ~slot(i) | (F.size(F.filter("slots", lambda s: s["d"] == theirs(i))) == 1)
+    rows = rows.withColumn("trusted", F.filter("places", clear))
+    merged = rows.groupBy(*where).agg(*(F.first(c).alias(c) for c in ("doc_id", "tokens", "values", "d_values", "same")), F.array_distinct(F.flatten(F.collect_list("trusted"))).alias("trusted"))
+    return merged.withColumn("equal", F.array_union("same", "trusted"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, n_tokens, n_matched, coverage, n_slots, n_changed, key``: leaked items, a row for
     each distinct document and item.
 
-    ``n_matched`` of the item's ``n_tokens`` template tokens are covered by alignments whose
-    slots are consistent; at least ``COVERAGE`` of all or ``TOKENS`` of them make a leak.
+    ``n_matched`` of the item's ``n_tokens`` template tokens are covered by alignments, without
+    contradicting slots; at least ``COVERAGE`` of all or ``TOKENS`` of them make a leak.
     ``n_changed`` of ``n_slots`` slots have another value in the document: 0 is a plain copy.
 
     NULL texts, and items of fewer than ``SHORTEST`` tokens, match nothing.  NULL ids stay.  Repeated rows give
@@ -124,7 +150,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     slots = F.transform(F.filter("equal", lambda i: F.get(F.col("tokens"), i).isin(_NAME, _NUMBER, _UNIT)), lambda i: F.struct(F.get(F.col("values"), i).alias("b"), at(F.col("d_values"), i).alias("d")))
     rows = rows.withColumn("slots", slots)
     pairs, ours, theirs = F.array_distinct("slots"), F.array_distinct(F.transform("slots", lambda s: s["b"])), F.array_distinct(F.transform("slots", lambda s: s["d"]))
-    rows = rows.where((F.size(pairs) == F.size(ours)) & (F.size(pairs) == F.size(theirs)))
+    rows = materialize(rows.withColumn("whole", (F.size(pairs) == F.size(ours)) & (F.size(pairs) == F.size(theirs))), "op2-aligned")
+    names = "key", "item_id", "doc_id", "tokens", "equal", "slots"
+    rows = rows.where("whole").select(*names).unionByName(_each_run(rows.where("not whole")).withColumn("slots", slots).select(*names))
     changed = F.size(F.filter("slots", lambda s: s["b"] != s["d"]))
     each = rows.select("key", "item_id", "doc_id", F.size("tokens").alias("n_tokens"), "equal", F.size("slots").alias("n_slots"), changed.alias("n_changed"))
     found = each.groupBy("key", "item_id").agg(

@@ -43,6 +43,17 @@ def test_windows_poor_in_words_and_at_any_token(spark):
     assert {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(docs_of(spark, rows), bench(spark, items)).collect()} == {(1, 1), (2, 2), (3, 3)}
 
 
+def test_contradictions_outside_a_copied_run(spark):
+    head = " ".join(f"head{chr(97 + k)}" for k in range(14)) + " then 12 apples and 30 pears"
+    item = head + " plus another 12 coins with " + " ".join(f"tail{chr(97 + k)}" for k in range(12))
+    copied = head + " somewhere quite 77 other than " + " ".join(f"else{chr(97 + k)}" for k in range(12))
+    question = "If you add 3 stones to 4 stones in one bag how many do you carry home"
+    rows = [(1, copied), (2, item.replace("another 12", "another 13")), (3, question.replace("3", "5").replace("4", "5"))]
+    got = {(r["doc_id"], r["item_id"]): r["n_matched"] for r in dc.find_leaks(docs_of(spark, rows), bench(spark, [(1, item), (2, question)])).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2)}
+    assert got[1, 1] == 20 and got[2, 1] == 37 - 1 and got[3, 2] == 17 - 2
+
+
 def test_empty_sides(spark):
     none = bench(spark, [])
     assert dc.find_leaks(docs_of(spark, [(1, ITEM)]), none).count() == 0

@@ -1,8 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
 A text's paragraphs are hashed to 64-bit digests; a paragraph's second, third ... occurrence
-has a digest of its own.  Paragraphs are the non-blank lines; shorter texts, which have few
-lines, are cut into sentences (``SHORT``) or words (``TINY``).  A sketch has cells of (count, digests xor-ed, checks
+has a digest of its own.  Every text is cut by one rule, whatever its length: at line ends and behind the
+marks that end a sentence, within its first ``HEAD`` characters also behind those that end a clause, and what is
+still longer than ``LONGEST`` characters into pieces of that length.  A sketch has cells of (count, digests xor-ed, checks
 xor-ed) in three tables, and each digest is in one cell of each table.  Two sketches subtract cell
 by cell, and peeling cells that hold one digest recovers the digests that differ between the texts.
 Where peeling fails, both sketches are made again larger: split into groups by digest, and groups
@@ -12,6 +13,7 @@ document's sketches never leave the task that holds its text.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -22,13 +24,15 @@ from quillspark.llm.common import parallelism
 
 #: Cells of one table of a sketch; three tables make a sketch (or a group of a larger one).
 CELLS = 8
-#: Mean digests of both sides in a group of a larger sketch, and the number of retries.
-GROUP, RETRIES = 8, 4
+#: Mean digests of both sides in a group of a larger sketch, the most groups that one is split into at a time, and the number of retries.
+GROUP, SPLIT, RETRIES = 8, 16, 5
 #: Rounds of peeling; each takes out every digest that stands alone in a cell.
 ROUNDS = 8
-#: Texts up to so many characters are cut into words, and into sentences.
-TINY, SHORT = 400, 3000
-_FIRST = -(1 << 63)
+#: Characters of a text that are cut finer, those of the longest piece, and digests that are numbered together.
+HEAD, LONGEST, STRETCH = 400, 200, 512
+#: Text bytes of a range of neighbouring documents, and the most ranges (two numbers of each go to the driver).
+RANGE_BYTES, MOST_RANGES = 64 << 20, 1 << 16
+_FIRST, _TOP, _END = -(1 << 63), (1 << 63) - 1, (1 << 31) - 1
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -36,73 +40,95 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def pieces(text: Column) -> Column:
+    """A text's paragraphs, cut by the one rule; blank ones are left out."""
+    long = lambda p: F.length(p) > LONGEST
+    cut = lambda p: F.when(long(p), F.transform(F.sequence(F.lit(1), F.length(p), F.lit(LONGEST)), lambda i: F.substring(p, i, F.lit(LONGEST)))).otherwise(F.array(p))
+    parts = lambda c: F.when(F.exists(c, long), F.flatten(F.transform(c, cut))).otherwise(c)
+    head = F.split(F.substring(text, 1, HEAD), r"(?<=[.!?,;:])\s+|\n")
+    rest = F.when(F.length(text) > HEAD, F.split(F.substring(text, HEAD + 1, _END), r"(?<=[.!?])\s+|\n")).otherwise(F.array().cast("array<string>"))
+    return F.filter(let(F.concat(head, rest), parts), lambda p: F.trim(p) != "")
+
+
 def digests(text: Column) -> Column:
-    """Array of the digests of a text's paragraphs, sorted; NULL counts as empty."""
+    """Array of the digests of a text's paragraphs; NULL counts as empty."""
+
+    def numbered(offset: Column, part: Column) -> Column:
+        """A stretch of sorted values, from ``offset`` on, each with the number of its equals before it."""
 
-    def number(sorted_: Column) -> Column:  # the first place of a value tells which occurrence each is
-        return F.transform(sorted_, lambda x, i: F.when(F.get(sorted_, i - 1) == x, F.xxhash64(x, i - F.array_position(sorted_, x) + 1)).otherwise(x))
+        def value(x: Column, i: Column) -> Column:
+            n = F.when(x == F.get(part["x"], F.lit(0)), offset + i - part["first"]).otherwise(i - F.array_position(part["x"], x) + 1)
+            return F.when(n > 0, F.xxhash64(x, n.cast("bigint"))).otherwise(x)
 
-    def cut(t: Column) -> Column:
-        parts = F.when(F.length(t) <= TINY, F.split(t, r"\s+")).when(F.length(t) <= SHORT, F.split(t, r"(?<=[.!?])\s+|\n")).otherwise(F.split(t, "\n"))
-        return let(F.sort_array(F.transform(F.filter(parts, lambda p: F.trim(p) != ""), lambda p: F.xxhash64(p))), number)
+        return F.transform(part["x"], value)
 
-    return let(F.coalesce(text, F.lit("")), cut)
+    def number(sorted_: Column) -> Column:  # stretch by stretch, so that no place is searched for in a long array
+        starts = F.when(F.size(sorted_) > 0, F.sequence(F.lit(0), F.size(sorted_) - 1, F.lit(STRETCH))).otherwise(F.array().cast("array<int>"))
+        part = lambda o: F.struct(F.slice(sorted_, o + 1, F.lit(STRETCH)).alias("x"), (F.array_position(sorted_, F.get(sorted_, o)) - 1).alias("first"))
+        return F.flatten(F.transform(starts, lambda o: let(part(o), lambda p: numbered(o, p))))
+
+    return let(F.sort_array(F.transform(pieces(F.coalesce(text, F.lit(""))), lambda p: F.xxhash64(p))), number)
 
 
 def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(7))
 
 
-def _in_cell(digest: Column, table: Column, slot: Column, level: int) -> Column:
-    """Whether a digest is in a cell; each level of retries uses bits of its own."""
-    return F.call_function("shiftrightunsigned", digest, table * 3 + 9 * level).bitwiseAND(F.lit(CELLS - 1)) == slot
+def _entry(digest: Column, level: Column) -> Column:
+    """A digest with its check and a mask of its cells; each level of retries uses bits of its own."""
+    bits = lambda t: F.call_function("shiftrightunsigned", digest, level * 9 + 3 * t).bitwiseAND(F.lit(CELLS - 1)).cast("int")
+    one = lambda t: F.call_function("shiftleft", F.lit(1 << (CELLS * t)), bits(t))
+    return F.struct(digest.alias("k"), _check(digest).alias("h"), one(0).bitwiseOR(one(1)).bitwiseOR(one(2)).alias("m"))
 
 
-def _places() -> Column:
-    """(table, slot) of the cells in order."""
-    return F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).cast("bigint").alias("i")) for t in range(3) for i in range(CELLS)))
+def _bits() -> Column:
+    """The masks of the cells in order, as a constant."""
+    return F.split(F.lit(",".join(str(1 << i) for i in range(3 * CELLS))), ",").cast("array<int>")
 
 
-def cells(array: Column, level: int = 0) -> Column:
-    """Sketch of an array of digests."""
+def cells(array: Column, level: Column, other: Column | None = None) -> Column:
+    """Sketch of an array of digests, from which that of another may be subtracted at once."""
     zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("h"))
 
-    def cell(known: Column, at: Column) -> Column:
-        mine = F.filter(known, lambda d: _in_cell(d, at["t"], at["i"], level))
-        return F.aggregate(mine, zero, lambda a, d: F.struct((a["c"] + 1).alias("c"), a["k"].bitwiseXOR(d).alias("k"), a["h"].bitwiseXOR(_check(d)).alias("h")))
+    def cell(known: Column, bit: Column) -> Column:
+        mine = F.filter(known, lambda x: x["e"]["m"].bitwiseAND(bit) != 0)
+        return F.aggregate(mine, zero, lambda a, x: F.struct((a["c"] + x["s"]).alias("c"), a["k"].bitwiseXOR(x["e"]["k"]).alias("k"), a["h"].bitwiseXOR(x["e"]["h"]).alias("h")))
 
-    return let(array, lambda known: F.transform(_places(), lambda at: cell(known, at)))
+    signed = lambda side, sign: F.transform(side, lambda d: F.struct(F.lit(sign).alias("s"), _entry(d, level).alias("e")))
+    known = signed(array, 1) if other is None else F.concat(signed(array, 1), signed(other, -1))
+    return let(known, lambda k: F.transform(_bits(), lambda bit: cell(k, bit)))
 
 
 def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct((x["c"] - y["c"]).alias("c"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h")))
 
 
-def peel(difference: Column, level: int = 0) -> Column:
-    """struct<cells, only_a, only_b> after peeling: digests of either side, and what is left."""
-    none = F.array().cast("array<bigint>")
-    start = F.struct(difference.alias("cells"), none.alias("only_a"), none.alias("only_b"))
-
-    def alone(state: Column, sign: int) -> Column:
-        pure = F.filter(state["cells"], lambda x: (x["c"] == sign) & (_check(x["k"]) == x["h"]))
-        return F.array_distinct(F.transform(pure, lambda x: x["k"]))
+def peel(difference: Column, level: Column) -> Column:
+    """struct<cells, found, more> after peeling: the digests ``k`` of the first side (``s`` is 1) and of the second
+    (-1), and what is left."""
+    start = F.struct(difference.alias("cells"), F.array().cast("array<struct<k:bigint,s:int>>").alias("found"), F.lit(True).alias("more"))
 
-    def remove(cell: Column, found: Column, at: Column) -> Column:
-        def step(sign: int) -> Callable[[Column, Column], Column]:
-            return lambda a, d: F.struct((a["c"] - sign).alias("c"), a["k"].bitwiseXOR(d).alias("k"), a["h"].bitwiseXOR(_check(d)).alias("h"))
+    def alone(state: Column) -> Column:
+        pure = F.filter(state["cells"], lambda x: (F.abs(x["c"]) == 1) & (_check(x["k"]) == x["h"]))
+        signed = F.array_distinct(F.transform(pure, lambda x: F.struct(x["k"].alias("k"), x["c"].alias("s"))))
+        return F.transform(signed, lambda x: F.struct(x["s"].alias("s"), _entry(x["k"], level).alias("e")))
 
-        mine = lambda side: F.filter(side, lambda d: _in_cell(d, at["t"], at["i"], level))
-        return F.aggregate(mine(found["b"]), F.aggregate(mine(found["a"]), cell, step(1)), step(-1))
+    def remove(cell: Column, found: Column, bit: Column) -> Column:
+        mine = F.filter(found, lambda x: x["e"]["m"].bitwiseAND(bit) != 0)
+        return F.aggregate(mine, cell, lambda a, x: F.struct((a["c"] - x["s"]).alias("c"), a["k"].bitwiseXOR(x["e"]["k"]).alias("k"), a["h"].bitwiseXOR(x["e"]["h"]).alias("h")))
 
     def take(state: Column, found: Column) -> Column:
-        return F.struct(
-            F.zip_with(state["cells"], _places(), lambda cell, at: remove(cell, found, at)).alias("cells"),
-            F.concat(state["only_a"], found["a"]).alias("only_a"),
-            F.concat(state["only_b"], found["b"]).alias("only_b"),
-        )
+        return F.when(
+            F.size(found) > 0,
+            F.struct(
+                F.zip_with(state["cells"], _bits(), lambda cell, bit: remove(cell, found, bit)).alias("cells"),
+                F.concat(state["found"], F.transform(found, lambda x: F.struct(x["e"]["k"].alias("k"), x["s"].alias("s")))).alias("found"),
+                F.lit(True).alias("more"),
+            ),
+        ).otherwise(F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("more")))
 
     def round_(state: Column, _: Column) -> Column:
-        return F.when(failed(state), let(F.struct(alone(state, 1).alias("a"), alone(state, -1).alias("b")), lambda found: take(state, found))).otherwise(state)
+        return F.when(state["more"] & failed(state), let(alone(state), lambda found: take(state, found))).otherwise(state)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_)
 
@@ -111,34 +137,39 @@ def failed(state: Column) -> Column:
     return F.exists(state["cells"], lambda x: (x["c"] != 0) | (x["k"] != 0))
 
 
-def with_differing(rows: DataFrame, a: str, b: str, cells_a: str, cells_b: str, out: str) -> DataFrame:
-    """``rows`` with column ``out``: struct<n, left> of how many digests differ between the columns
-    ``a`` and ``b``, as peeled from the difference of their sketches, and how many are in groups that no retry
-    could peel (those are counted as differing).
+def _split(p: Column, retry: Column) -> Column:
+    """A pair of arrays of digests, dealt into groups."""
+    groups = F.least(F.lit(SPLIT), F.greatest(F.lit(2), F.ceil((F.size(p["a"]) + F.size(p["b"])) / F.lit(GROUP)).cast("int")))
 
-    Each step is a column of its own, so that nothing is computed twice.
-    """
-    kept = rows.columns
-
-    def split(p: Column, retry: int) -> Column:
-        groups = F.greatest(F.lit(2), F.ceil((F.size(p["a"]) + F.size(p["b"])) / F.lit(GROUP)).cast("int"))
-        pick = lambda side, g: F.filter(side, lambda d: F.pmod(F.xxhash64(d, F.lit(retry)), groups) == g)
-        return F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.struct(pick(p["a"], g).alias("a"), pick(p["b"], g).alias("b")))
-
-    rows = rows.withColumn("__tried", F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b"), peel(subtract(F.col(cells_a), F.col(cells_b))).alias("s"))))
-    n = F.lit(0)
-    for retry in range(1, RETRIES + 2):
-        done = F.aggregate("__tried", n, lambda total, q: total + F.when(failed(q["s"]), 0).otherwise(F.size(q["s"]["only_a"]) + F.size(q["s"]["only_b"])))
-        rest = F.transform(F.filter("__tried", lambda q: failed(q["s"])), lambda q: F.struct(q["a"].alias("a"), q["b"].alias("b")))
-        rows = rows.withColumns({f"__n{retry}": done, f"__rest{retry}": rest})
-        n = F.col(f"__n{retry}")
-        if retry <= RETRIES:
-            rows = rows.withColumn("__groups", F.flatten(F.transform(f"__rest{retry}", lambda p: split(p, retry))))
-            rows = rows.withColumn("__subtracted", F.transform("__groups", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), subtract(cells(p["a"], retry), cells(p["b"], retry)).alias("d"))))
-            rows = rows.withColumn("__tried", F.transform("__subtracted", lambda q: F.struct(q["a"].alias("a"), q["b"].alias("b"), peel(q["d"], retry).alias("s"))))
-    left = F.aggregate(f"__rest{RETRIES + 1}", F.lit(0), lambda total, p: total + F.size(p["a"]) + F.size(p["b"]))
-    rows = rows.withColumn("__left", left)
-    return rows.select(*kept, F.struct((n + F.col("__left")).alias("n"), F.col("__left").alias("left")).alias(out))
+    def dealt(side: Column) -> Column:  # sorted by group, so that each group is a stretch
+        ordered = F.sort_array(F.transform(side, lambda d: F.struct(F.pmod(F.xxhash64(d, retry), groups).cast("int").alias("g"), d.alias("d"))))
+        return let(ordered, lambda o: let(F.transform(o, lambda x: x["g"]), lambda at: F.struct(F.transform(o, lambda x: x["d"]).alias("d"), at.alias("g"), F.reverse(at).alias("r"))))
+
+    def pick(side: Column, g: Column) -> Column:
+        first, last = F.array_position(side["g"], g), F.size(side["g"]) + 1 - F.array_position(side["r"], g)
+        return F.when(first > 0, F.slice(side["d"], first.cast("int"), (last - first + 1).cast("int"))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.struct(dealt(p["a"]).alias("a"), dealt(p["b"]).alias("b")), lambda q: F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.struct(pick(q["a"], g).alias("a"), pick(q["b"], g).alias("b"))))
+
+
+def differing(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
+    """struct<n, left> of how many digests differ between two arrays, as peeled from the difference of their sketches,
+    and how many are in groups that no retry could peel (those are counted as differing)."""
+
+    def counted(n: Column, tried: Column) -> Column:
+        done = F.aggregate(tried, n, lambda total, q: total + F.when(failed(q["s"]), 0).otherwise(F.size(q["s"]["found"])))
+        rest = F.transform(F.filter(tried, lambda q: failed(q["s"])), lambda q: F.struct(q["a"].alias("a"), q["b"].alias("b")))
+        return F.struct(done.alias("n"), rest.alias("rest"))
+
+    def retry(state: Column, level: Column) -> Column:
+        groups = F.flatten(F.transform(state["rest"], lambda p: _split(p, level)))
+        tried = F.transform(groups, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), peel(cells(p["a"], level, p["b"]), level).alias("s")))
+        return F.when(F.size(state["rest"]) > 0, let(tried, lambda t: counted(state["n"], t))).otherwise(state)
+
+    first = F.array(F.struct(a.alias("a"), b.alias("b"), peel(subtract(cells_a, cells_b), F.lit(0)).alias("s")))
+    state = F.aggregate(F.sequence(F.lit(1), F.lit(RETRIES)), let(first, lambda t: counted(F.lit(0), t)), retry)
+    left = lambda s: F.aggregate(s["rest"], F.lit(0), lambda total, p: total + F.size(p["a"]) + F.size(p["b"]))
+    return let(state, lambda s: let(left(s), lambda k: F.struct((s["n"] + k).alias("n"), k.alias("left"))))
 
 
 def likeness(a: Column, b: Column, different: Column) -> Column:
@@ -147,60 +178,77 @@ def likeness(a: Column, b: Column, different: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise((both - different) / (both + different))
 
 
-def as_text(sketch: Column) -> Column:
-    """A sketch as text: its cells' counts, digests and checks, packed in base 64."""
+def as_text(digests_: Column, sketch: Column) -> Column:
+    """A fingerprint as text: the number of digests, and the sketch's counts, digests and checks, packed in base 64."""
     cell = lambda x: F.concat(F.lpad(F.hex(x["c"].bitwiseAND(F.lit(0xFFFF))), 4, "0"), F.lpad(F.hex(x["k"]), 16, "0"), F.lpad(F.hex(x["h"].bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
-    return F.base64(F.unhex(F.array_join(F.transform(sketch, cell), "")))
+    return F.base64(F.unhex(F.concat(F.lpad(F.hex(F.size(digests_)), 8, "0"), F.array_join(F.transform(sketch, cell), ""))))
+
+
+def _begin(text: Column) -> Column:
+    """The first seven bytes of a text as a number, which orders texts as their bytes do."""
+    return F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
 
 
-def _tree(ord_: Column, bounds: list[int], low: int = 0) -> Column:
-    """Number of the bounds that lie below ``ord_``, by bisection."""
+def _bounds(rows: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """Ends of about ``parts`` ranges of (ord, begin) of about equal size; an ord with many rows is split by ``begin``."""
+    fractions = lambda n: [i / n for i in range(1, n)]
+    cuts = rows.agg(F.percentile_approx("ord", fractions(parts), 100 * parts)).first()[0] or [] if parts > 1 else []
+    times = Counter(cuts)
+    bounds = {(o, _TOP) for o in cuts}
+    if heavy := [o for o, n in times.items() if n > 1]:
+        n = 1 + max(times.values())
+        inner = rows.where(F.col("ord").isin(heavy)).groupBy("ord").agg(F.percentile_approx("begin", fractions(n), 100 * n).alias("cuts"))
+        bounds |= {(r["ord"], k) for r in inner.collect() for k in r["cuts"]}
+    return sorted(bounds)
+
+
+def _range(bounds: list[tuple[int, int]]) -> Column:
+    """Number of the bounds that lie below (ord, begin), by bisection over constant arrays."""
     if not bounds:
-        return F.lit(low)
-    m = len(bounds) // 2
-    return F.when(ord_ <= bounds[m], _tree(ord_, bounds[:m], low)).otherwise(_tree(ord_, bounds[m + 1 :], low + m + 1))
+        return F.lit(0)
+    ords, begins = (F.split(F.lit(",".join(str(b[i]) for b in bounds)), ",").cast("array<bigint>") for i in (0, 1))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+
+    def further(at: Column, step: Column) -> Column:
+        o, k = F.get(ords, at + step - 1), F.get(begins, at + step - 1)
+        return F.when((o < F.col("ord")) | ((o == F.col("ord")) & (k < F.col("begin"))), at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), further)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """``doc_id, text, next_text``: each row with the text of the row after it in descending
     doc_id order; the first row follows the last.
 
-    Rows are dealt into ranges of doc_id, of about equal size; the head of each range is
-    also sent to the range before it.  Only the ranges' bounds go to the driver.
+    Rows are dealt into ranges of about ``RANGE_BYTES`` (more where there are over ``MOST_RANGES`` of them); the head
+    of each range is also sent to the range before it.  Only the ranges' ends go to the driver.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_FIRST)).alias("ord"))
-    parts = min(8192, 2 * parallelism(spark))
-    cuts = rows.agg(F.percentile_approx("ord", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
-    bounds = sorted(set(cuts))
-    b = _tree(F.col("ord"), bounds)
-    tops = {r["b"]: r["top"] for r in rows.groupBy(b.alias("b")).agg(F.max("ord").alias("top")).collect()}
+    rows = rows.withColumn("begin", _begin(F.col("text")))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bounds = _bounds(rows, min(MOST_RANGES, max(2 * parallelism(spark), size // RANGE_BYTES)))
+    rows = rows.withColumn("b", _range(bounds))
+    tops = {r["b"]: r["top"] for r in rows.groupBy("b").agg(F.max(F.struct("ord", "begin")).alias("top")).collect()}
     filled = sorted(tops)
-    before = {tops[x]: y for x, y in zip(filled, [*filled[1:], *filled[:1]])}  # the range that ends with this one's head
-    copies = F.when(F.col("ord").isin(*before), F.array(F.struct(b.alias("b"), F.lit(0).alias("ghost")), F.struct(_lookup(F.col("ord"), before).alias("b"), F.lit(1).alias("ghost")))).otherwise(F.array(F.struct(b.alias("b"), F.lit(0).alias("ghost"))))
-    dealt = rows.select("doc_id", "text", "ord", F.explode(copies if before else F.array(F.struct(b.alias("b"), F.lit(0).alias("ghost")))).alias("to")).select("doc_id", "text", "ord", "to.b", "to.ghost")
+    before = [(tops[x]["ord"], tops[x]["begin"], y) for x, y in zip(filled, [*filled[1:], *filled[:1]])]  # the range that ends with this one's head
+    heads = F.broadcast(spark.createDataFrame(before, "ord bigint, begin bigint, to int"))  # MOST_RANGES rows at most
+    own = F.struct(F.col("b"), F.lit(0).alias("ghost"))
+    copies = F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("to").alias("b"), F.lit(1).alias("ghost"))))
+    dealt = rows.join(heads, ["ord", "begin"], "left").select("doc_id", "text", "ord", F.explode(copies).alias("at")).select("doc_id", "text", "ord", "at.b", "at.ghost")
+    dealt = dealt.repartition(max(len(bounds) + 1, parallelism(spark)), "b")
     order = Window.partitionBy("b").orderBy("ghost", F.col("ord").desc(), F.col("text").desc())
     return dealt.withColumn("next_text", F.lead("text").over(order)).where("ghost = 0").select("doc_id", "text", "next_text")
 
 
-def _lookup(ord_: Column, values: dict[int, int]) -> Column:
-    """values[ord_], by bisection over its keys."""
-    keys = sorted(values)
-
-    def find(low: int, high: int) -> Column:
-        if high - low == 1:
-            return F.lit(values[keys[low]])
-        m = (low + high) // 2
-        return F.when(ord_ < keys[m], find(low, m)).otherwise(find(m, high))
-
-    return find(0, len(keys)) if keys else F.lit(0)
-
-
 def compare(versions: DataFrame) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next, unpeeled`` of rows ``doc_id, text, next_text``.
 
-    The edited text has its last third of code points replaced by the next text's first ones.
+    The edited text has its last third of code points replaced by the next text's first ones.  A fingerprint
+    is the sketch of ``3 * CELLS`` cells and the number of digests: its size doesn't grow with the text, and it
+    answers differences of up to some 18 digests alone.  For larger ones the sketches are made again
+    larger, from the same digests, so that both likenesses are exact.
     ``unpeeled`` counts digests of groups that no retry could peel (0 but for chance).
     """
     n = F.length("text")
@@ -208,15 +256,14 @@ def compare(versions: DataFrame) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
     rows = versions.select("doc_id", "text", "next_text", n.cast("bigint").alias("n_chars"), edited.alias("edited"))
     rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("n"))
-    rows = rows.withColumns({"ca": cells(F.col("a")), "ce": cells(F.col("e")), "cn": cells(F.col("n"))})
-    rows = with_differing(rows, "a", "e", "ca", "ce", "by_edit")
-    rows = with_differing(rows, "a", "n", "ca", "cn", "by_next")
+    rows = rows.withColumns({f"c{side}": cells(F.col(side), F.lit(0)) for side in "aen"})
+    rows = rows.withColumns({"by_edit": differing(F.col("a"), F.col("e"), F.col("ca"), F.col("ce")), "by_next": differing(F.col("a"), F.col("n"), F.col("ca"), F.col("cn"))})
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        as_text(F.col("ca")).alias("fingerprint"),
-        as_text(F.col("ce")).alias("edited_fingerprint"),
+        as_text(F.col("a"), F.col("ca")).alias("fingerprint"),
+        as_text(F.col("e"), F.col("ce")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("e"), F.col("by_edit.n")).alias("near_edited"),
         likeness(F.col("a"), F.col("n"), F.col("by_next.n")).alias("near_next"),
         (F.col("by_edit.left") + F.col("by_next.left")).alias("unpeeled"),
@@ -228,6 +275,7 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
 
     NULL texts count as empty and NULL ids as the lowest; rows of equal id follow each
     other in descending order of text, and repeated rows each give a row.  A lone row is
-    followed by itself; an empty table gives an empty table.  Other columns are ignored.
+    followed by itself; an empty table gives an empty table.  Other columns are ignored.  Texts of any length
+    are worked whole: the work grows with the number of pieces, times its logarithm for the retries.
     """
     return compare(with_next(docs))

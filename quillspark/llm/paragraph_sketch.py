@@ -22,10 +22,10 @@ from pyspark.sql.window import Window
 
 from quillspark.llm.common import parallelism
 
-#: Cells of one table of a sketch; three tables make a sketch (or a group of a larger one).
-CELLS = 8
+#: Cells of one table of a sketch, and of a group of a larger one; each has three tables.
+CELLS, NARROW = 8, 4
 #: Mean digests of both sides in a group of a larger sketch, the most groups that one is split into at a time, and the number of retries.
-GROUP, SPLIT, RETRIES = 8, 16, 5
+GROUP, SPLIT, RETRIES = 4, 32, 6
 #: Rounds of peeling; each takes out every digest that stands alone in a cell.
 ROUNDS = 8
 #: Characters of a text that are cut finer, those of the longest piece, and digests that are numbered together.
@@ -74,36 +74,36 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(7))
 
 
-def _entry(digest: Column, level: Column) -> Column:
-    """A digest with its check and a mask of its cells; each level of retries uses bits of its own."""
-    bits = lambda t: F.call_function("shiftrightunsigned", digest, level * 9 + 3 * t).bitwiseAND(F.lit(CELLS - 1)).cast("int")
-    one = lambda t: F.call_function("shiftleft", F.lit(1 << (CELLS * t)), bits(t))
-    return F.struct(digest.alias("k"), _check(digest).alias("h"), one(0).bitwiseOR(one(1)).bitwiseOR(one(2)).alias("m"))
+def _entry(digest: Column, sign: Column, level: Column, width: int) -> Column:
+    """A digest with its side, its check and a mask of its cells; each level of retries uses bits of its own."""
+    bits = lambda t: F.call_function("shiftrightunsigned", digest, level * 9 + 3 * t).bitwiseAND(F.lit(width - 1)).cast("int")
+    one = lambda t: F.call_function("shiftleft", F.lit(1 << (width * t)), bits(t))
+    return F.struct(digest.alias("k"), sign.alias("s"), _check(digest).alias("h"), one(0).bitwiseOR(one(1)).bitwiseOR(one(2)).alias("m"))
 
 
-def _bits() -> Column:
+def _bits(width: int) -> Column:
     """The masks of the cells in order, as a constant."""
-    return F.split(F.lit(",".join(str(1 << i) for i in range(3 * CELLS))), ",").cast("array<int>")
+    return F.split(F.lit(",".join(str(1 << i) for i in range(3 * width))), ",").cast("array<int>")
 
 
-def cells(array: Column, level: Column, other: Column | None = None) -> Column:
+def cells(array: Column, level: Column, other: Column | None = None, width: int = CELLS) -> Column:
     """Sketch of an array of digests, from which that of another may be subtracted at once."""
     zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("h"))
 
     def cell(known: Column, bit: Column) -> Column:
-        mine = F.filter(known, lambda x: x["e"]["m"].bitwiseAND(bit) != 0)
-        return F.aggregate(mine, zero, lambda a, x: F.struct((a["c"] + x["s"]).alias("c"), a["k"].bitwiseXOR(x["e"]["k"]).alias("k"), a["h"].bitwiseXOR(x["e"]["h"]).alias("h")))
+        mine = F.filter(known, lambda x: x["m"].bitwiseAND(bit) != 0)
+        return F.aggregate(mine, zero, lambda a, x: F.struct((a["c"] + x["s"]).alias("c"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["h"].bitwiseXOR(x["h"]).alias("h")))
 
-    signed = lambda side, sign: F.transform(side, lambda d: F.struct(F.lit(sign).alias("s"), _entry(d, level).alias("e")))
+    signed = lambda side, sign: F.transform(side, lambda d: _entry(d, F.lit(sign), level, width))
     known = signed(array, 1) if other is None else F.concat(signed(array, 1), signed(other, -1))
-    return let(known, lambda k: F.transform(_bits(), lambda bit: cell(k, bit)))
+    return let(known, lambda k: F.transform(_bits(width), lambda bit: cell(k, bit)))
 
 
 def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct((x["c"] - y["c"]).alias("c"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h")))
 
 
-def peel(difference: Column, level: Column) -> Column:
+def peel(difference: Column, level: Column, width: int = CELLS) -> Column:
     """struct<cells, found, more> after peeling: the digests ``k`` of the first side (``s`` is 1) and of the second
     (-1), and what is left."""
     start = F.struct(difference.alias("cells"), F.array().cast("array<struct<k:bigint,s:int>>").alias("found"), F.lit(True).alias("more"))
@@ -111,18 +111,18 @@ def peel(difference: Column, level: Column) -> Column:
     def alone(state: Column) -> Column:
         pure = F.filter(state["cells"], lambda x: (F.abs(x["c"]) == 1) & (_check(x["k"]) == x["h"]))
         signed = F.array_distinct(F.transform(pure, lambda x: F.struct(x["k"].alias("k"), x["c"].alias("s"))))
-        return F.transform(signed, lambda x: F.struct(x["s"].alias("s"), _entry(x["k"], level).alias("e")))
+        return F.transform(signed, lambda x: _entry(x["k"], x["s"], level, width))
 
     def remove(cell: Column, found: Column, bit: Column) -> Column:
-        mine = F.filter(found, lambda x: x["e"]["m"].bitwiseAND(bit) != 0)
-        return F.aggregate(mine, cell, lambda a, x: F.struct((a["c"] - x["s"]).alias("c"), a["k"].bitwiseXOR(x["e"]["k"]).alias("k"), a["h"].bitwiseXOR(x["e"]["h"]).alias("h")))
+        mine = F.filter(found, lambda x: x["m"].bitwiseAND(bit) != 0)
+        return F.aggregate(mine, cell, lambda a, x: F.struct((a["c"] - x["s"]).alias("c"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["h"].bitwiseXOR(x["h"]).alias("h")))
 
     def take(state: Column, found: Column) -> Column:
         return F.when(
             F.size(found) > 0,
             F.struct(
-                F.zip_with(state["cells"], _bits(), lambda cell, bit: remove(cell, found, bit)).alias("cells"),
-                F.concat(state["found"], F.transform(found, lambda x: F.struct(x["e"]["k"].alias("k"), x["s"].alias("s")))).alias("found"),
+                F.zip_with(state["cells"], _bits(width), lambda cell, bit: remove(cell, found, bit)).alias("cells"),
+                F.concat(state["found"], F.transform(found, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s")))).alias("found"),
                 F.lit(True).alias("more"),
             ),
         ).otherwise(F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("more")))
@@ -163,7 +163,7 @@ def differing(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
 
     def retry(state: Column, level: Column) -> Column:
         groups = F.flatten(F.transform(state["rest"], lambda p: _split(p, level)))
-        tried = F.transform(groups, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), peel(cells(p["a"], level, p["b"]), level).alias("s")))
+        tried = F.transform(groups, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), peel(cells(p["a"], level, p["b"], NARROW), level, NARROW).alias("s")))
         return F.when(F.size(state["rest"]) > 0, let(tried, lambda t: counted(state["n"], t))).otherwise(state)
 
     first = F.array(F.struct(a.alias("a"), b.alias("b"), peel(subtract(cells_a, cells_b), F.lit(0)).alias("s")))

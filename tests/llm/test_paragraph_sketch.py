@@ -78,7 +78,7 @@ def test_query_against_plain_sets(spark):
     assert found(got) == expected(texts)
 
 
-@pytest.mark.parametrize("length", [*range(390, 411, 4), *range(2900, 3301, 80), 3193])
+@pytest.mark.parametrize("length", [395, 405, 2990, 3193])
 def test_likeness_does_not_jump_at_any_length(spark, length):
     rng = random.Random(length)
     text = ""

@@ -1,8 +1,9 @@
 """Format-preserving pseudonyms of personal data.
 
 Validated values (payment cards by their Luhn digit, IBANs by their remainder, phone
-numbers, IPv4 addresses, social security numbers, calendar dates, mail addresses, and
-keys in hexadecimal) are replaced by other valid values of the same format.  The value is ranked among the
+numbers, IPv4 addresses, social security numbers, calendar dates, mail addresses, keys in hexadecimal and
+access keys with a known beginning) are replaced by other valid values of the same format.  Where a run of digits or letters isn't valid
+as a whole, its shorter parts between separators are tried, and only valid values take up text.  The value is ranked among the
 values of its format and the rank is permuted by a keyed Feistel network with cycle
 walking, so the replacement is a bijection of the format: equal values get equal pseudonyms in
 every document, different ones stay different, and separators stay where they were.
@@ -27,17 +28,28 @@ FIRST_DAY, DAYS = date(1800, 1, 1), (date(2200, 1, 1) - date(1800, 1, 1)).days
 #: English month names.
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 
-_NUMERIC = re.compile(
-    r"(?P<date>\b\d{4}-\d\d-\d\d\b|\b\d{1,2}[/.]\d{1,2}[/.]\d{4}\b|\b\d{1,2} (?:" + "|".join(MONTHS) + r") \d{4}\b)"
-    r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
-    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\w+-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-]))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))"
-    r"|(?P<hex>(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z]))"
-    r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))"
-)
-_IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d\d(?: ?[0-9A-Z]){11,30}(?![0-9A-Za-z])")
+#: Lengths of IBANs by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18,
+    "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+#: Beginnings of access keys.
+KEY_BEGINNINGS = ["sk_live_", "sk_test_", "pk_live_", "pk_test_", "rk_live_", "rk_test_", "ghp_", "gho_", "ghs_", "ghr_", "ghu_", "AKIA", "ASIA", "xoxb-", "xoxp-", "xoxa-"]
+
+_MONTH = "(?:" + "|".join(MONTHS) + ")"
+#: Candidates of each kind; a group named v, where there is one, holds the value.
+_PATTERNS = {
+    "date": re.compile(r"\b(?:\d{4}-\d\d-\d\d(?=T\d|\b)|\d{1,2}([/.-])\d{1,2}\1\d{4}\b|\d{1,2} " + _MONTH + r" \d{4}\b|" + _MONTH + r" \d{1,2}, ?\d{4}\b)"),
+    "ip": re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"),
+    "phone": re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\w+-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-])"),
+    "ssn": re.compile(r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])|(?i:\bssn|\bsocial security (?:number|no\.?))[:#]?\s{0,3}(?P<v>\d{9})(?!\w)"),
+    "hex": re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"),
+    "card": re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,}"),
+    "iban": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d\d(?: ?[0-9A-Z]){11,}"),
+    "key": re.compile(r"(?<![0-9A-Za-z])(?:" + "|".join(map(re.escape, KEY_BEGINNINGS)) + r")[0-9A-Za-z-]{16,}(?![0-9A-Za-z])"),
+}
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])")
-_HEX_ONLY_LETTERS = re.compile(r"(?<![0-9A-Za-z])(?:[a-f][0-9a-f]{31,127}|[A-F][0-9A-F]{31,127})(?![0-9A-Za-z])")
 
 
 class Feistel:
@@ -94,7 +106,7 @@ def _refill(pattern: str, new: str, kind: str = r"[0-9A-Za-z]") -> str:
 
 def _mixed(text: str, feistel: Feistel, name: str, back: bool) -> str:
     """Permute letters and digits of ``text`` within their kinds; other characters stay."""
-    kinds = [("0", 10) if c.isdigit() else ("a", 26) if c.islower() else ("A", 26) if c.isupper() else (c, 1) for c in text]
+    kinds = [(c, 1) if not c.isascii() else ("0", 10) if c.isdigit() else ("a", 26) if c.islower() else ("A", 26) if c.isupper() else (c, 1) for c in text]
     value, size = 0, 1
     for c, (base, n) in zip(text, kinds):
         value, size = value * n + (ord(c) - ord(base) if n > 1 else 0), size * n
@@ -111,10 +123,12 @@ def _date(text: str) -> tuple[date, str] | None:
     try:
         if m := re.fullmatch(r"(\d{4})-(\d\d)-(\d\d)", text):
             return date(*map(int, m.groups())), "ymd"
-        if m := re.fullmatch(r"(\d{1,2})([/.])(\d{1,2})[/.](\d{4})", text):
+        if m := re.fullmatch(r"(\d{1,2})([/.-])(\d{1,2})[/.-](\d{4})", text):
             a, b, y = int(m[1]), int(m[3]), int(m[4])
             pad = "2" if len(m[1]) == 2 and len(m[3]) == 2 else "1"
             return (date(y, b, a), f"d{m[2]}{pad}") if b <= 12 else (date(y, a, b), f"m{m[2]}{pad}")
+        if m := re.fullmatch(r"([A-Z][a-z]+) (\d{1,2}),( ?)(\d{4})", text):
+            return date(int(m[4]), MONTHS.index(m[1]) + 1, int(m[2])), "word," + m[3]
         d, month, y = text.split(" ")
         return date(int(y), MONTHS.index(month) + 1, int(d)), "word"
     except ValueError:
@@ -126,6 +140,8 @@ def _show(day: date, form: str) -> str:
         return day.isoformat()
     if form == "word":
         return f"{day.day} {MONTHS[day.month - 1]} {day.year}"
+    if form.startswith("word,"):
+        return f"{MONTHS[day.month - 1]} {day.day}{form[4:]}{day.year}"
     width = "02d" if form[2] == "2" else "d"
     first, second = (day.day, day.month) if form[0] == "d" else (day.month, day.day)
     return f"{first:{width}}{form[1]}{second:{width}}{form[1]}{day.year:04d}"
@@ -171,7 +187,7 @@ def pseudonym(kind: str, text: str, feistel: Feistel, back: bool = False) -> str
         rank = ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1
         rank = feistel.permute(rank, 898 * 99 * 9999, "ssn", back)
         area, group, serial = rank // (99 * 9999) + 1, rank // 9999 % 99 + 1, rank % 9999 + 1
-        return f"{area + (area >= 666):03d}-{group:02d}-{serial:04d}"
+        return _refill(text, f"{area + (area >= 666):03d}{group:02d}{serial:04d}", r"\d")
     if kind == "date":
         if not (known := _date(text)) or not 0 <= (known[0] - FIRST_DAY).days < DAYS:
             return None
@@ -185,6 +201,9 @@ def pseudonym(kind: str, text: str, feistel: Feistel, back: bool = False) -> str
             return None
         value = f"{feistel.permute(int(text, 16), 16 ** len(text), 'hex', back):0{len(text)}x}"
         return value.upper() if text.upper() == text else value
+    if kind == "key":
+        begin = next(k for k in KEY_BEGINNINGS if text.startswith(k))
+        return begin + _mixed(text[len(begin) :], feistel, "key" + begin, back) if any(map(str.isdigit, text)) else None
     if kind == "mail":
         local, domain = text.rsplit("@", 1)
         name, _, top = domain.rpartition(".")
@@ -192,8 +211,26 @@ def pseudonym(kind: str, text: str, feistel: Feistel, back: bool = False) -> str
     raise ValueError(kind)
 
 
-def find(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of candidates, in order and without overlap."""
+def _parts(kind: str, text: str, start: int, end: int) -> Iterator[int]:
+    """Ends of what may be a value from ``start`` on: those of cards and IBANs at separators, the likelier first."""
+    if kind not in ("card", "iban"):
+        yield end
+        return
+    ends, size = {}, 0
+    for at in range(start, end):
+        size += text[at] not in " -"
+        if at + 1 == len(text) or not text[at + 1].isalnum():
+            ends[size] = at + 1
+    if kind == "card":
+        after = lambda at: text[at : at + 1] == "-" or text[at : at + 1] == "_"
+        yield from (ends[n] for n in range(19, 12, -1) if n in ends and not after(ends[n]))
+        return
+    known = IBAN_LENGTHS.get(text[start : start + 2])
+    yield from (ends[n] for n in ([known] if known else range(34, 14, -1)) if n in ends)
+
+
+def find(text: str, feistel: Feistel) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, pseudonym) of the valid values, in order and without overlap."""
     spans = []
     if "@" in text:
         at, done = text.find("@"), 0
@@ -202,21 +239,26 @@ def find(text: str) -> list[tuple[int, int, str]]:
             while low > done and (text[low - 1].isascii() and text[low - 1].isalnum() or text[low - 1] in "._%+-"):
                 low -= 1
             if low < at and (m := _MAIL.match(text, low)):
-                spans.append((m.start(), m.end(), "mail"))
+                spans.append((m.start(), m.end(), "mail", pseudonym("mail", m.group(), feistel)))
                 done = m.end()
             at = text.find("@", max(at + 1, done))
-    for m in _NUMERIC.finditer(text):
-        spans.append((m.start(), m.end(), m.lastgroup))
-    for m in _HEX_ONLY_LETTERS.finditer(text):
-        spans.append((m.start(), m.end(), "hex"))
-    for m in _IBAN.finditer(text):
-        spans.append((m.start(), m.end(), "iban"))
-    rank = {"mail": 0, "iban": 1, "hex": 2}
+    for kind, pattern in _PATTERNS.items():
+        m = pattern.search(text)
+        while m:
+            start, end = m.span("v") if "v" in pattern.groupindex and m["v"] else m.span()
+            again = start + 1
+            for stop in _parts(kind, text, start, end):
+                if (new := pseudonym(kind, text[start:stop], feistel)) is not None:
+                    spans.append((start, stop, kind, new))
+                    again = stop
+                    break
+            m = pattern.search(text, again)
+    rank = {"mail": 0, "key": 1, "iban": 2, "hex": 3}
     out, end = [], 0
-    for a, b, kind in sorted(spans, key=lambda s: (s[0], rank.get(s[2], 3), -s[1])):
-        if a >= end:
-            out.append((a, b, kind))
-            end = b
+    for span in sorted(spans, key=lambda s: (s[0], rank.get(s[2], 4), -s[1])):
+        if span[0] >= end:
+            out.append(span)
+            end = span[1]
     return out
 
 
@@ -225,11 +267,10 @@ def pseudonymise(text: str | None, feistel: Feistel) -> tuple[str | None, list[t
     if not text:
         return text, []
     parts, done, replaced = [], 0, []
-    for a, b, kind in find(text):
-        if (new := pseudonym(kind, text[a:b], feistel)) is not None:
-            parts += [text[done:a], new]
-            done = b
-            replaced.append((a, b, kind))
+    for a, b, kind, new in find(text, feistel):
+        parts += [text[done:a], new]
+        done = b
+        replaced.append((a, b, kind))
     return "".join([*parts, text[done:]]), replaced
 
 
@@ -258,6 +299,7 @@ def protect(docs: DataFrame, key: bytes) -> Column:
 def pseudonymise_documents(docs: DataFrame, key: bytes) -> DataFrame:
     """``doc_id, text, found`` of every row (see ``protect``).
 
-    Repeated rows each give a row, an empty table gives none; other columns are ignored.
+    Repeated rows each give a row, an empty table gives none; other columns are ignored.  Texts of any length
+    are scanned whole, in time that grows with their length.
     """
     return docs.select("doc_id", protect(docs, key).alias("found")).select("doc_id", "found.*")

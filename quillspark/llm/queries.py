@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,8 +14,8 @@ from quillspark.llm.common import crc_bucket, documents, limit_batches
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Key of the pseudonyms; a deployment passes its own secret to the operator.
-PII_KEY = b"quillspark example key"
+#: Setting that holds the secret key of the pseudonyms; without it each run draws a key of its own.
+PII_KEY = "spark.quillspark.pii.key"
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,8 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise_documents(documents(spark, sf_dir), PII_KEY)
+    key = spark.conf.get(PII_KEY, None)
+    return pii.pseudonymise_documents(documents(spark, sf_dir), key.encode() if key else secrets.token_bytes(32))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,32 +76,48 @@ class TokenShard:
             at += 4 * len(ranks)
             self.levels.append((chunks, bits, ranks))
 
+    def rank(self, level: int, i: int) -> int:
+        """Continuation bits before entry ``i`` of a level: one directory entry and at most 64 bytes of bits."""
+        _, bits, ranks = self.levels[level]
+        count = int(ranks[i >> 9]) + int(_POP[bits[i >> 9 << 6 : i >> 3]].sum())
+        return count + int(_POP[bits[i >> 3] & ((1 << (i & 7)) - 1)]) if i & 7 else count
+
     def token(self, i: int) -> int:
         """Id number ``i`` of the shard, by rank alone."""
         if not 0 <= i < self.n_ids:
             raise IndexError(i)
         value = 0
-        for level, (chunks, bits, ranks) in enumerate(self.levels):
+        for level, (chunks, bits, _) in enumerate(self.levels):
             value |= int(chunks[i]) << (8 * level)
             if not bits[i >> 3] >> (i & 7) & 1:
                 break
-            block = i >> 9
-            whole = bits[block << 6 : i >> 3]
-            i = int(ranks[block]) + int(_POP[whole].sum()) + int(_POP[bits[i >> 3] & ((1 << (i & 7)) - 1)])
+            i = self.rank(level, i)
         return value
 
-    def all(self) -> np.ndarray:
-        """All ids in order."""
+    def run(self, first: int, end: int) -> np.ndarray:
+        """Ids ``first`` to ``end`` (exclusive): a run of entries goes on as one run of each
+        next level, whose start the rank directory gives, so nothing else is touched."""
+        if not 0 <= first <= end <= self.n_ids:
+            raise IndexError((first, end))
+        steps = []
+        for level, (chunks, bits, _) in enumerate(self.levels):
+            if first == end:
+                break
+            more = np.unpackbits(bits[first >> 3 : (end + 7) >> 3], bitorder="little")[first & 7 :][: end - first].view(bool)
+            steps.append((chunks[first:end].astype(np.uint32), more))
+            first = self.rank(level, first)
+            end = first + int(np.count_nonzero(more))
         value = np.zeros(0, np.uint32)
-        for chunks, bits, _ in reversed(self.levels):
-            more = np.unpackbits(bits, bitorder="little")[: len(chunks)].view(bool)
-            here = chunks.astype(np.uint32)
+        for here, more in reversed(steps):
             here[more] |= value << np.uint32(8)
             value = here
         return value
 
+    def all(self) -> np.ndarray:
+        return self.run(0, self.n_ids)
+
     def document(self, k: int) -> np.ndarray:
-        return np.array([self.token(i) for i in range(int(self.starts[k]), int(self.starts[k + 1]))], np.uint32)
+        return self.run(int(self.starts[k]), int(self.starts[k + 1]))
 
 
 def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, shard_ids: int = SHARD_IDS) -> None:
@@ -149,7 +165,45 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     key = F.col("doc_id").asc_nulls_first()
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, key, F.xxhash64("text")).sortWithinPartitions(key, F.xxhash64("text"), "text")
     packed = ordered.mapInArrow(shards, f"part int, seq int, before bigint, n_ids bigint, doc_ids array<{kind}>, payload binary")
-    packed.write.option("compression", "zstd").option("parquet.block.size", str(32 << 20)).parquet(path)
+    # payloads as they are: what stands in the file is what is addressed, with nothing to unpack first
+    packed.write.option("compression", "none").option("parquet.enable.dictionary", "false").option("parquet.block.size", str(32 << 20)).parquet(path)
+
+
+def _bases(spark: SparkSession, store: DataFrame) -> DataFrame:
+    """``part, base``: the ids before each write partition.  One total a partition goes to the driver."""
+    totals = sorted((r["part"], r["n"]) for r in store.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    bases, before = [], 0
+    for part, n in totals:
+        bases.append((part, before))
+        before += n
+    return F.broadcast(spark.createDataFrame(bases, "part int, base bigint"))
+
+
+def lookup_tokens(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
+    """``position, token`` of each distinct global ``position`` (bigint) that the store holds.
+
+    Positions find their shard by the stretch of ``SHARD_IDS`` ids that they lie in, an
+    equi-join with the shards' heads alone; payloads are read only then, and each token by rank.
+    NULL positions and those outside the store give no row.  Positions are held shard by
+    shard, at most one for each id of a shard.
+    """
+    store = spark.read.parquet(path)
+    first = F.col("base") + F.col("before")
+    heads = store.join(_bases(spark, store), "part").select("part", "seq", first.alias("first"), (first + F.col("n_ids")).alias("end"))
+    heads = heads.select("*", F.explode(F.sequence(F.floor(F.col("first") / SHARD_IDS), F.floor((F.col("end") - 1) / SHARD_IDS))).alias("stretch"))
+    wanted = positions.select("position").distinct().withColumn("stretch", F.floor(F.col("position") / SHARD_IDS))
+    hits = wanted.join(heads, "stretch").where("position >= first and position < end")
+    by_shard = hits.groupBy("part", "seq", "first").agg(F.collect_list("position").alias("positions"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                shard, first = TokenShard(batch.column(2)[k].as_py()), batch.column(0)[k].as_py()
+                at = batch.column(1)[k].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([shard.token(i - first) for i in at], pa.int64())], ["position", "token"])
+
+    found = by_shard.join(store.select("part", "seq", "payload"), ["part", "seq"])
+    return found.select("first", "positions", "payload").mapInArrow(read, "position bigint, token bigint")
 
 
 def read_token_store(spark: SparkSession, path: str) -> DataFrame:
@@ -160,29 +214,24 @@ def read_token_store(spark: SparkSession, path: str) -> DataFrame:
     """
     store = spark.read.parquet(path)
     kind = dict(store.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
-    totals = sorted((r["part"], r["n"]) for r in store.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
-    bases, before = [], 0
-    for part, n in totals:
-        bases.append((part, before))
-        before += n
-    base = spark.createDataFrame(bases, "part int, base bigint")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 shard = TokenShard(batch.column(2)[k].as_py())
-                ids, at = shard.all().astype("<u4"), shard.starts.astype(np.int64)
+                at = shard.starts.astype(np.int64)
                 first = batch.column(0)[k].as_py()
                 docs = batch.column(1)[k].values
                 step = max(1, shard.n_docs * (1 << 18) // max(1, shard.n_ids))
                 for i in range(0, shard.n_docs, step):
                     j = min(i + step, shard.n_docs)
+                    ids, low = shard.run(int(at[i]), int(at[j])).astype("<u4"), int(at[i])
                     yield pa.RecordBatch.from_arrays(
-                        [docs.slice(i, j - i), pa.array(first + at[i:j]), pa.array(at[i + 1 : j + 1] - at[i:j]), pa.array([ids[a:b].tobytes() for a, b in zip(at[i:j], at[i + 1 : j + 1])], pa.binary())],
+                        [docs.slice(i, j - i), pa.array(first + at[i:j]), pa.array(at[i + 1 : j + 1] - at[i:j]), pa.array([ids[a - low : b - low].tobytes() for a, b in zip(at[i:j], at[i + 1 : j + 1])], pa.binary())],
                         ["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    rows = store.join(F.broadcast(base), "part").select((F.col("base") + F.col("before")).alias("first"), "doc_ids", "payload")
+    rows = store.join(_bases(spark, store), "part").select((F.col("base") + F.col("before")).alias("first"), "doc_ids", "payload")
     return rows.mapInArrow(unpack, f"doc_id {kind}, start bigint, n_tokens bigint, ids binary")
 
 

@@ -96,6 +96,27 @@ def test_store_round_trip(spark, tmp_path, shard_ids):
         at += len(ids)
 
 
+def test_runs_by_rank():
+    rng = np.random.default_rng(5)
+    ids = rng.choice([3, 255, 256, 70_000, 1 << 25, (1 << 32) - 1], 3000).astype(np.uint32)
+    shard = token_store.TokenShard(token_store.pack(ids, np.array([0, 3000])))
+    for a, b in [(0, 0), (0, 3000), (3000, 3000), (511, 513), (512, 1024), *np.sort(rng.integers(0, 3001, (50, 2)), axis=1).tolist()]:
+        assert (shard.run(a, b) == ids[a:b]).all()
+    with pytest.raises(IndexError):
+        shard.run(0, 3001)
+
+
+@pytest.mark.parametrize("shard_ids", [7, 1 << 20])
+def test_lookup_by_global_position(spark, tmp_path, shard_ids):
+    path = f"file://{tmp_path}/store"
+    token_store.write_token_store(docs_of(spark, ROWS), path, PATH, 1, shard_ids)
+    rows = sorted(token_store.read_token_store(spark, path).collect(), key=lambda r: r["start"])
+    ids = np.frombuffer(b"".join(r["ids"] for r in rows), "<u4").tolist()
+    asked = [*range(len(ids)), 0, 0, -1, len(ids), None, 1 << 40]
+    got = token_store.lookup_tokens(spark, path, spark.createDataFrame([(i,) for i in asked], "position bigint")).collect()
+    assert sorted((r["position"], r["token"]) for r in got) == list(enumerate(ids))
+
+
 def test_store_of_empty_table(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     token_store.write_token_store(docs_of(spark, []), path, PATH, 1)

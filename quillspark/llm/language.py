@@ -25,6 +25,10 @@ from quillspark.llm.common import crc_bucket, limit_batches
 ORDER = 5
 #: Labelled documents of each language that the models are fitted on, and the longest text among them.
 SAMPLE_DOCS, SAMPLE_CHARS = 500, 100_000
+#: Deviations up to this one are accepted in every language.
+LEAST_LIMIT = 35.0
+#: Calibration texts that a language needs for a mean and a spread of its own.
+LEAST_TEXTS = 20
 CACHE_WORDS = 150_000
 _RUN = re.compile(r"[^\W\d_]+")
 #: Pieces that aren't language: numbers, keys, mail addresses.
@@ -200,14 +204,22 @@ def calibrate(model: KneserNey, texts: dict[str, list[str]]) -> np.ndarray:
     """Limits of rejection from texts that the model wasn't fitted on.
 
     The deviation of a text is how far its cross-entropy lies above the language's mean,
-    in standard deviations for its length.  Up to two and a half times the largest one among
-    the calibration texts of the language, and 25 at least, is accepted.
+    in standard deviations for its length.  Up to three times the 99 % quantile of the
+    calibration texts that the model gives to their own language, and ``LEAST_LIMIT`` at least,
+    is accepted: a text under another language's label doesn't widen the limit.
+    A language of fewer than ``LEAST_TEXTS`` such texts takes the figures of all languages together; with
+    fewer than five in all, nothing is rejected.
     """
-    scorer, out = Scorer(model), []
+    scorer, own = Scorer(model), []
     for i, lang in enumerate(model.langs):
         total, chars = scorer.texts(texts[lang])
-        use = chars > 0
-        entropy, n = -total[use, i] / np.maximum(chars[use], 1), chars[use]
+        use = (chars > 0) & (total.argmax(1) == i)
+        own.append((-total[use, i] / np.maximum(chars[use], 1), chars[use]))
+    pooled = [np.concatenate(x) for x in zip(*own)]
+    out = []
+    for entropy, n in own:
+        if len(n) < LEAST_TEXTS:
+            entropy, n = pooled
         if len(n) < 5:
             out.append((0.0, 1.0, 1.0, np.inf))
             continue
@@ -216,24 +228,26 @@ def calibrate(model: KneserNey, texts: dict[str, list[str]]) -> np.ndarray:
         long = n >= np.median(n)
         beyond = max(1e-4, np.median((entropy[long] - mean) ** 2) / 0.455 - np.mean(one / n[long]))
         deviation = (entropy - mean) / np.sqrt(beyond + one / n)
-        out.append((mean, beyond, one, max(25.0, 2.5 * deviation.max())))
+        out.append((mean, beyond, one, max(LEAST_LIMIT, 3.0 * float(np.quantile(deviation, 0.99)))))
     return np.array(out).reshape(-1, 4)
 
 
 def learn(docs: DataFrame, modulus: int = 3, held_out: int = 1, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> KneserNey:
     """Fit and calibrate on rows with a language and a text whose crc32 bucket isn't ``held_out``.
 
-    At most ``sample_docs`` rows a language, of at most ``sample_chars`` characters, are
-    chosen by a hash of their text.  Half of them calibrate the rejection of a
-    model of the other half; the returned model is fitted on all.
+    At most ``sample_docs`` distinct texts a language, of at most ``sample_chars`` characters,
+    are chosen by a hash of the text, however often each is repeated.  Half of them calibrate
+    the rejection of a model of the other half; the returned model is fitted on all.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_bucket(F.col("doc_id"), modulus) != held_out) & (F.length("text") <= sample_chars)).select("lang", "text")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    code = F.xxhash64(F.lit("sample"), "text")
+    sizes = {r["lang"]: r["n"] for r in rows.select("lang", code.alias("code")).distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return KneserNey([], np.zeros(0), [], [], np.zeros((0, 4)))
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 32)) / float(1 << 32)
+    draw = F.pmod(code, F.lit(1 << 32)) / float(1 << 32)
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, 1.5 * sample_docs / n)))
-    picked = rows.where(draw < share[F.col("lang")]).select("lang", "text", draw.alias("draw")).collect()
+    drawn = rows.where(draw < share[F.col("lang")]).select("lang", "text", draw.alias("draw"))
+    picked = drawn.groupBy("lang", "draw").agg(F.min("text").alias("text")).select("lang", "text", "draw").collect()
     by_lang: dict[str, list[str]] = {lang: [] for lang in sizes}
     for lang, text, _ in sorted(picked, key=lambda r: (r["lang"], r["draw"], r["text"])):
         if len(by_lang[lang]) < sample_docs:

@@ -120,3 +120,20 @@ def test_query_on_held_out_rows(spark):
     held = got[got.held_out]
     assert (held.lang_pred == truth.lang[held.index]).mean() > 0.97
     assert not got.rejected.any()
+
+
+def test_unlearned_language_and_noise_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.learn(docs)
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. " * 3
+    rng = random.Random(1)
+    noise = " ".join("".join(rng.choices("qxzjkwvbtp", k=rng.randint(3, 9))) for _ in range(80))
+    got = {r["doc_id"]: r["rejected"] for r in language.predict(docs_of(spark, [(1, finnish), (2, noise)]), model).collect()}
+    assert got == {1: True, 2: True}
+
+
+def test_repeated_texts_are_drawn_once(spark):
+    ids = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, "the and of with", "en", "s", 0) for i in ids[:4000]] + [(i, f"der die das und {i}", "de", "s", 0) for i in ids[4000:4020]]
+    model = language.learn(spark.createDataFrame(rows, DOC))
+    assert model.langs == ["de", "en"]

@@ -110,10 +110,13 @@ def fit(bags: list[str], labels: np.ndarray, importance: np.ndarray) -> NoisyOr:
 def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> NoisyOr:
     """Fit on labelled rows (``doc_id, toxic`` of ``labels``).
 
-    At most ``sample_docs`` rows of each class, of at most ``sample_chars`` characters, are
-    chosen by a hash of their text and weighted back to the classes' sizes.
+    At most ``sample_docs`` documents of each class, of at most ``sample_chars`` characters, are
+    chosen by a hash of their id and weighted back to the classes' sizes.  An id with several
+    labels is toxic where any is 1; of several texts of one id the least is taken; labels
+    without a document count for nothing.
     """
-    known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
+    known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.join(docs.select("doc_id").hint("merge"), "doc_id", "left_semi")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return NoisyOr({}, -40.0, 0.0)
@@ -121,7 +124,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     share = F.create_map(*(F.lit(x) for label, n in sizes.items() for x in (label, 1.2 * sample_docs / n)))
     chosen = known.where(draw < share[F.col("toxic")])
     rows = docs.where(F.length("text").between(1, sample_chars)).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # the draw bounds its rows
-    picked = sorted(rows.select("text", "toxic", draw.alias("draw")).collect(), key=lambda r: (r["draw"], r["text"]))
+    picked = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic", draw.alias("draw")).collect()
+    picked = sorted(picked, key=lambda r: (r["draw"], r["text"]))
     texts, ys = [], []
     count: Counter = Counter()
     for text, y, _ in picked:

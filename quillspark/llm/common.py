@@ -20,16 +20,21 @@ BATCH_BYTES = 8 << 20
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (local
-    sessions, tests) a folder under the machine's temporary folder is used, and is then
-    also set as the checkpoint folder.
+    The cluster names it in ``spark.checkpoint.dir`` or by ``setCheckpointDir``.  Only a local
+    session where both are unset (as in tests) uses a folder under the machine's temporary
+    folder, and sets it as the checkpoint folder; elsewhere that is an error, since executors
+    would write where nobody else reads.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        named = sc._jsc.sc().getCheckpointDir()
+        if named.isDefined():
+            return f"{named.get().rstrip('/')}/quillspark"
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "quillspark-scratch")
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(base)
+        sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/quillspark"
 
 
@@ -61,7 +66,8 @@ def drop_table(df: DataFrame) -> None:
 def limit_batches(spark: SparkSession) -> None:
     """Keep Arrow batches for Python to ``BATCH_BYTES``, so that long texts don't gather in one."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).lower().rstrip("b")) > BATCH_BYTES:
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if size > BATCH_BYTES:
         spark.conf.set(key, BATCH_BYTES)
 
 

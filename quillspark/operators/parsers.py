@@ -10,14 +10,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Kinds of questions by the words of the question, first match wins, and those that decide a bill.
+#: Kinds of questions by the words of the question (in any case), first match wins, and those that decide something.
 KINDS = [
-    ("first_reading", r"read a first time"), ("second_reading", r"read a second time"), ("third_reading", r"read a third time"), ("committee", r"(clause|part|schedule|title)\b.*\b(agreed|stand)"), ("amendment", r"amendment"),
-    ("closure", r"question be now put|debate .*close"), ("leave", r"leave"), ("urgency", r"urgency"), ("motion", r"motion|that this house"),
-]
-SUBSTANTIVE = ("first_reading", "second_reading", "third_reading")
-#: Lines after the opening that belong to a vote.
-REACH = 8
+    ("third_reading", r"read a third time"),
+    ("second_reading", r"read a second time"),
+    ("first_reading", r"read a first time"),
+    ("closure", r"debate on this question now close|question be now put"),
+    ("urgency", r"urgency be accorded|extended sitting"),
+    ("committee_report", r"be reported to the House"),
+    ("amendment", r"\bamendments?\b.*be agreed to"),
+    ("committee", r"\b(clause|Part|Schedule)s?\b.*be agreed to"),
+    ("motion", r"That the motion be agreed to"),
+]
+SUBSTANTIVE = ("first_reading", "second_reading", "third_reading", "committee", "amendment", "motion")
+#: Lines after the opening among which a vote's labels, tallies and verdict are looked for.
+REACH = 24
+CALL = r"(?i)^an? (party|personal) vote was called for"
+_LABEL = r"(?i)^(ayes|noes|abstentions?)\b"
+_TALLY = r"^\p{Lu}[^.;]*\d+(;[^.;]*\d+)*\.?\s*$"
 
 
 def speaker_lines(lines: DataFrame, line: str) -> DataFrame:
@@ -32,7 +42,7 @@ def speaker_lines(lines: DataFrame, line: str) -> DataFrame:
 def question_type(question: Column) -> Column:
     out = F.lit("other")
     for name, pattern in reversed(KINDS):
-        out = F.when(F.lower(question).rlike(pattern), name).otherwise(out)
+        out = F.when(question.rlike(f"(?i){pattern}"), name).otherwise(out)
     return out
 
 
@@ -70,21 +80,35 @@ def divisions(lines: DataFrame, keys: list[str]) -> DataFrame:
     """
     named = bill_title(F.col("line"))
     order = Window.partitionBy(*keys).orderBy("ord")
-    rows = lines.withColumns({"__at": F.row_number().over(order), "__bill": F.last(named, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "__vote": F.col("line").rlike(r"(?i)^an? (party|personal) vote was called for")})
+    rows = lines.withColumns({"__at": F.row_number().over(order), "__bill": F.last(named, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "__vote": F.col("line").rlike(CALL)})
     after = {f"__l{i}": F.lead("line", i).over(order) for i in range(1, REACH + 1)}
     votes = rows.withColumns(after).where("__vote")
-    block = F.array(*(F.col(f"__l{i}") for i in range(1, REACH + 1)))
-    votes = votes.withColumns({"__block": block, "question": F.regexp_extract("line", r"(?i)on the question,?\s*(.*?)\.?$", 1)})
-    head = lambda side: F.filter("__block", lambda x: x.rlike(rf"(?i)^{side}\b"))
-    place = lambda side: F.array_position(F.transform("__block", lambda x: F.coalesce(x.rlike(rf"(?i)^{side}\b"), F.lit(False))), F.lit(True))
+    block = F.filter(F.array(*(F.col(f"__l{i}") for i in range(1, REACH + 1))), lambda x: x.isNotNull())
+    # a block ends where the next vote is called
+    calls = F.array_position(F.transform(block, lambda x: x.rlike(CALL)), F.lit(True)).cast("int")
+    votes = votes.withColumns({"__block": F.when(calls > 0, F.slice(block, 1, calls - 1)).otherwise(block), "question": F.regexp_extract("line", r"(?i)on the question,?\s*(.*?)\.?$", 1)})
+    first = lambda array, pattern: F.array_position(F.transform(array, lambda x: x.rlike(pattern)), F.lit(True)).cast("int")
+    lines, sides = F.col("__block"), {}
+    unlabelled = first(lines, r"(?i)^(ayes|noes)\b") == 0
+    tallies = F.filter(lines, lambda x: x.rlike(_TALLY))
+    for k, name in enumerate(("ayes", "noes")):
+        start = first(lines, rf"(?i)^{name}\b")
+        rest = F.slice(lines, start + 1, F.lit(REACH))
+        # a tally may run over several lines: to its full stop, or to the next label
+        stop, label = F.nullif(first(rest, r"\.\s*$"), F.lit(0)), F.nullif(first(rest, _LABEL), F.lit(0))
+        n = F.least(F.coalesce(stop, F.size(rest)), F.coalesce(label - 1, F.size(rest)))
+        bare = F.get(tallies, F.lit(k))
+        sides[f"__{name}_text"] = F.when(unlabelled, bare).when(start > 0, F.array_join(F.slice(rest, F.lit(1), n), " "))
+        sides[f"__{name}_end"] = F.when(unlabelled, F.array_position(lines, bare).cast("int")).when(start > 0, start + n)
+        sides[f"__{name}_said"] = F.when(start > 0, F.regexp_extract(F.get(lines, start - 1), r"(\d+)", 1).try_cast("int"))
+    votes = votes.withColumns(sides)
 
     def side(name: str) -> Column:
-        declared = F.regexp_extract(F.get(head(name), F.lit(0)), r"(\d+)", 1).try_cast("int")
-        line = F.when(place(name) > 0, F.get("__block", place(name).cast("int")))
-        return F.when(place(name) > 0, tally(F.coalesce(line, F.lit("")), declared))
+        return F.when(F.col(f"__{name}_text").isNotNull(), tally(F.col(f"__{name}_text"), F.col(f"__{name}_said")))
 
-    last = F.greatest(place("ayes"), place("noes")).cast("int")
-    votes = votes.withColumns({"ayes": side("ayes"), "noes": side("noes"), "verdict_line": F.get("__block", last + 1), "type": question_type(F.col("question"))})
+    last = F.coalesce(F.greatest("__ayes_end", "__noes_end"), F.lit(0))
+    after_block = F.filter(F.slice(lines, last + 1, F.lit(REACH)), lambda x: verdict(x).isNotNull())
+    votes = votes.withColumns({"ayes": side("ayes"), "noes": side("noes"), "verdict_line": F.get(after_block, F.lit(0)), "type": question_type(F.col("question"))})
     counted = F.when(F.col("ayes.total") > F.col("noes.total"), "passed").when(F.col("ayes.total").isNotNull() & F.col("noes.total").isNotNull(), "failed")
     said = verdict(F.col("verdict_line"))
     flags = F.filter(

@@ -15,7 +15,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
         import os
         import tempfile
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quillspark-scratch"))
+        named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "quillspark-scratch"))
     return df.checkpoint()
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+_SPACE = " \t\n\r\f"
+
 
 class Scorer(Protocol):
     """Scores a batch of texts: for each, a list of (attribute, statement, score or None)."""
@@ -16,18 +19,19 @@ class Scorer(Protocol):
 
 
 class RuleScorer:
-    """Scores the first sentence by its length and its variety of words."""
+    """Scores every sentence (up to a full stop) by its length and its variety of words."""
 
     def __call__(self, texts: list[str]) -> list[list[tuple[str, str, float | None]]]:
         out = []
         for text in texts:
-            sentence = (text or "").strip().split(".")[0].strip()
-            words = sentence.lower().split()
-            if not words:
-                out.append([])
-                continue
-            variety = round(len(set(words)) / len(words), 6)
-            out.append([("focus", sentence, round(min(1.0, len(words) / 40), 6)), ("variety", sentence, variety if len(words) > 2 else None)])
+            found: list[tuple[str, str, float | None]] = []
+            for sentence in (text or "").split("."):
+                sentence = sentence.strip(_SPACE)
+                words = re.findall(f"[^{_SPACE}]+", sentence.lower())
+                if words:
+                    variety = round(len(set(words)) / len(words), 6)
+                    found += [("focus", sentence, round(min(1.0, len(words) / 40), 6)), ("variety", sentence, variety if len(words) > 2 else None)]
+            out.append(found)
         return out
 
 

@@ -170,7 +170,11 @@ def gate_rejects(spark: SparkSession, d: str) -> DataFrame:
     return gated.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"), F.min("item_id").alias("first_item"))
 
 
-@query()
+@query(r"""
+WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, '.'), lambda x: trim(x, E' \t\n\r\f')), lambda x: x <> '')) AS statement, unnest(range(len(list_filter(list_transform(string_split(text, '.'), lambda x: trim(x, E' \t\n\r\f')), lambda x: x <> '')))) AS i FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(lower(statement), '[ \t\n\r\f]+'), lambda x: x <> '') AS w FROM s)
+SELECT doc_id AS window_id, 'focus' AS attribute, CAST(2 * i AS INTEGER) AS idx, statement, round_even(least(1.0, len(w) / 40), 6) AS score FROM w
+UNION ALL SELECT doc_id, 'variety', CAST(2 * i + 1 AS INTEGER), statement, CASE WHEN len(w) > 2 THEN round_even(len(list_distinct(w)) / len(w), 6) END FROM w""")
 def scored_documents(spark: SparkSession, d: str) -> DataFrame:
     """Attribute scores of documents from the offline scorer."""
     return scorer.score(table(spark, d, "documents").select(F.col("doc_id").alias("window_id"), "text"), scorer.RuleScorer())

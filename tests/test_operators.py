@@ -183,6 +183,28 @@ def test_votes(spark):
     assert r["result"] == "passed" and set(r["flags"]) == {"noes_total_mismatch", "verdict_mismatch"}
 
 
+def test_wrapped_and_bare_tallies(spark):
+    wrapped = [*LINES[:3], "North Party 49; East Party", "11; Independents: Lowe,", "Park 2; West 6.", *LINES[4:]]
+    bare = [line for line in LINES if not line.startswith(("Ayes", "Noes"))]
+    abstained = [*LINES[:6], "Abstentions 2", "Plains 2.", "Motion agreed to."]
+    for lines in (wrapped, bare, abstained):
+        rows = [("2025-03-04", i, line) for i, line in enumerate(lines + ["Prose about 3 things.", *LINES[1:]])]
+        first, second = parsers.divisions(spark.createDataFrame(rows, "day string, ord int, line string"), ["day"]).orderBy("division_id").collect()
+        for r in (first, second):
+            assert (r["ayes"]["total"], r["noes"]["total"], r["result"], r["verdict_line"], r["flags"]) == (68, 55, "passed", "Motion agreed to.", [])
+
+
+def test_question_kinds(spark):
+    rows = [("That the Electoral Amendment Bill be reported to the House by 1 December", "committee_report"), ("That Part 1 as amended be agreed to", "committee"), ("That the amendment be agreed to", "amendment"), ("That leave be granted", "other")]
+    got = spark.createDataFrame(rows, "q string, want string").withColumn("got", parsers.question_type(F.col("q"))).collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
+def test_every_sentence_is_scored():
+    (found,) = scorer.RuleScorer()(["One two three. Four four four four.. "])
+    assert [(a, s, v) for a, s, v in found] == [("focus", "One two three", 0.075), ("variety", "One two three", 1.0), ("focus", "Four four four four", 0.1), ("variety", "Four four four four", 0.25)]
+
+
 def test_spoken_turns(spark):
     rows = [(1, i, s) for i, s in enumerate(["Dr ANN SMITH (Minister of Roads): We will build.", "Without a tag here.", "SPEAKER: Order.", "BOB JONES: Why: because?", "no speaker"])]
     got = parsers.speaker_lines(spark.createDataFrame(rows, "d int, ord int, line string"), "line").orderBy("ord").collect()

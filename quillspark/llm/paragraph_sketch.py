@@ -6,9 +6,11 @@ marks that end a sentence, within its first ``HEAD`` characters also behind thos
 still longer than ``LONGEST`` characters into pieces of that length.  A sketch has cells of (count, digests xor-ed, checks
 xor-ed) in three tables, and each digest is in one cell of each table.  Two sketches subtract cell
 by cell, and peeling cells that hold one digest recovers the digests that differ between the texts.
-Where peeling fails, both sketches are made again larger: split into groups by digest, and groups
-that still fail again.  Everything is built from SQL functions and stays in one row, so a
-document's sketches never leave the task that holds its text.
+Where peeling fails, both sketches are made again larger, with several cells to each digest, and with twice as
+many at each further retry.  A larger sketch is kept as its filled cells only, and its tables are made one after
+the other: since cells are sums, a table less the digests peeled so far is the table of those that are left.
+Everything is built from SQL functions and stays in one row, so a document's sketches never leave the task that
+holds its text.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from pyspark.sql.window import Window
 
 from quillspark.llm.common import parallelism
 
-#: Cells of one table of a sketch, and of a group of a larger one; each has three tables.
-CELLS, NARROW = 8, 4
-#: Mean digests of both sides in a group of a larger sketch, the most groups that one is split into at a time, and the number of retries.
-GROUP, SPLIT, RETRIES = 4, 32, 6
+#: Cells of one table of a sketch, and its tables.
+CELLS, TABLES = 8, 3
+#: Cells for each digest in a table of the first larger sketch, and the number of retries.
+ROOM, RETRIES = 4, 6
 #: Rounds of peeling; each takes out every digest that stands alone in a cell.
 ROUNDS = 8
 #: Characters of a text that are cut finer, those of the longest piece, and digests that are numbered together.
@@ -67,51 +69,55 @@ def digests(text: Column) -> Column:
         part = lambda o: F.struct(F.slice(sorted_, o + 1, F.lit(STRETCH)).alias("x"), (F.array_position(sorted_, F.get(sorted_, o)) - 1).alias("first"))
         return F.flatten(F.transform(starts, lambda o: let(part(o), lambda p: numbered(o, p))))
 
-    return let(F.sort_array(F.transform(pieces(F.coalesce(text, F.lit(""))), lambda p: F.xxhash64(p))), number)
+    numbers = lambda s: F.when(F.size(F.array_distinct(s)) == F.size(s), s).otherwise(number(s))
+    return let(F.sort_array(F.transform(pieces(F.coalesce(text, F.lit(""))), lambda p: F.xxhash64(p))), numbers)
 
 
 def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(7))
 
 
-def _entry(digest: Column, sign: Column, level: Column, width: int) -> Column:
-    """A digest with its side, its check and a mask of its cells; each level of retries uses bits of its own."""
-    bits = lambda t: F.call_function("shiftrightunsigned", digest, level * 9 + 3 * t).bitwiseAND(F.lit(width - 1)).cast("int")
-    one = lambda t: F.call_function("shiftleft", F.lit(1 << (width * t)), bits(t))
+def _entry(digest: Column, sign: Column, level: Column) -> Column:
+    """A digest with its side, its check and a mask of its cells; each level uses bits of its own."""
+    bits = lambda t: F.call_function("shiftrightunsigned", digest, level * 9 + 3 * t).bitwiseAND(F.lit(CELLS - 1)).cast("int")
+    one = lambda t: F.call_function("shiftleft", F.lit(1 << (CELLS * t)), bits(t))
     return F.struct(digest.alias("k"), sign.alias("s"), _check(digest).alias("h"), one(0).bitwiseOR(one(1)).bitwiseOR(one(2)).alias("m"))
 
 
-def _bits(width: int) -> Column:
+def _bits() -> Column:
     """The masks of the cells in order, as a constant."""
-    return F.split(F.lit(",".join(str(1 << i) for i in range(3 * width))), ",").cast("array<int>")
+    return F.split(F.lit(",".join(str(1 << i) for i in range(TABLES * CELLS))), ",").cast("array<int>")
 
 
-def cells(array: Column, level: Column, other: Column | None = None, width: int = CELLS) -> Column:
-    """Sketch of an array of digests, from which that of another may be subtracted at once."""
+def cells(array: Column, level: Column) -> Column:
+    """Sketch of an array of digests."""
     zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("h"))
 
     def cell(known: Column, bit: Column) -> Column:
         mine = F.filter(known, lambda x: x["m"].bitwiseAND(bit) != 0)
         return F.aggregate(mine, zero, lambda a, x: F.struct((a["c"] + x["s"]).alias("c"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["h"].bitwiseXOR(x["h"]).alias("h")))
 
-    signed = lambda side, sign: F.transform(side, lambda d: _entry(d, F.lit(sign), level, width))
-    known = signed(array, 1) if other is None else F.concat(signed(array, 1), signed(other, -1))
-    return let(known, lambda k: F.transform(_bits(width), lambda bit: cell(k, bit)))
+    return let(F.transform(array, lambda d: _entry(d, F.lit(1), level)), lambda known: F.transform(_bits(), lambda bit: cell(known, bit)))
+
+
+def sketched(text: Column) -> Column:
+    """struct<d, c> of a text's digests and their sketch."""
+    return let(digests(text), lambda d: F.struct(d.alias("d"), cells(d, F.lit(0)).alias("c")))
 
 
 def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct((x["c"] - y["c"]).alias("c"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h")))
 
 
-def peel(difference: Column, level: Column, width: int = CELLS) -> Column:
+def peel(difference: Column, level: Column) -> Column:
     """struct<cells, found, more> after peeling: the digests ``k`` of the first side (``s`` is 1) and of the second
     (-1), and what is left."""
     start = F.struct(difference.alias("cells"), F.array().cast("array<struct<k:bigint,s:int>>").alias("found"), F.lit(True).alias("more"))
 
     def alone(state: Column) -> Column:
-        pure = F.filter(state["cells"], lambda x: (F.abs(x["c"]) == 1) & (_check(x["k"]) == x["h"]))
+        pure = F.filter(state["cells"], _alone)
         signed = F.array_distinct(F.transform(pure, lambda x: F.struct(x["k"].alias("k"), x["c"].alias("s"))))
-        return F.transform(signed, lambda x: _entry(x["k"], x["s"], level, width))
+        return F.transform(signed, lambda x: _entry(x["k"], x["s"], level))
 
     def remove(cell: Column, found: Column, bit: Column) -> Column:
         mine = F.filter(found, lambda x: x["m"].bitwiseAND(bit) != 0)
@@ -121,7 +127,7 @@ def peel(difference: Column, level: Column, width: int = CELLS) -> Column:
         return F.when(
             F.size(found) > 0,
             F.struct(
-                F.zip_with(state["cells"], _bits(width), lambda cell, bit: remove(cell, found, bit)).alias("cells"),
+                F.zip_with(state["cells"], _bits(), lambda cell, bit: remove(cell, found, bit)).alias("cells"),
                 F.concat(state["found"], F.transform(found, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s")))).alias("found"),
                 F.lit(True).alias("more"),
             ),
@@ -137,39 +143,48 @@ def failed(state: Column) -> Column:
     return F.exists(state["cells"], lambda x: (x["c"] != 0) | (x["k"] != 0))
 
 
-def _split(p: Column, retry: Column) -> Column:
-    """A pair of arrays of digests, dealt into groups."""
-    groups = F.least(F.lit(SPLIT), F.greatest(F.lit(2), F.ceil((F.size(p["a"]) + F.size(p["b"])) / F.lit(GROUP)).cast("int")))
+def _filled(rest: Column, size: Column, salt: Column) -> Column:
+    """The filled cells of a table of ``size`` cells: their sums and the digests in them."""
+    zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("h"))
+    placed = F.sort_array(F.transform(rest, lambda x: F.struct(F.pmod(F.xxhash64(x["k"], salt), size).alias("g"), x["k"].alias("k"), x["s"].alias("s"))))
+    starts = lambda o: F.filter(F.sequence(F.lit(1), F.size(o)), lambda i: (i == 1) | (F.get(o, i - 2)["g"] != F.get(o, i - 1)["g"]))
+    added = lambda a, x: F.struct((a["c"] + x["s"]).alias("c"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["h"].bitwiseXOR(_check(x["k"])).alias("h"))
+    cell = lambda inside: F.struct(F.aggregate(inside, zero, added).alias("sum"), inside.alias("inside"))
 
-    def dealt(side: Column) -> Column:  # sorted by group, so that each group is a stretch
-        ordered = F.sort_array(F.transform(side, lambda d: F.struct(F.pmod(F.xxhash64(d, retry), groups).cast("int").alias("g"), d.alias("d"))))
-        return let(ordered, lambda o: let(F.transform(o, lambda x: x["g"]), lambda at: F.struct(F.transform(o, lambda x: x["d"]).alias("d"), at.alias("g"), F.reverse(at).alias("r"))))
+    def cut(o: Column, at: Column) -> Column:
+        return F.transform(at, lambda i, j: let(F.slice(o, i, F.coalesce(F.get(at, j + 1), F.size(o) + 1) - i), cell))
 
-    def pick(side: Column, g: Column) -> Column:
-        first, last = F.array_position(side["g"], g), F.size(side["g"]) + 1 - F.array_position(side["r"], g)
-        return F.when(first > 0, F.slice(side["d"], first.cast("int"), (last - first + 1).cast("int"))).otherwise(F.array().cast("array<bigint>"))
+    return let(placed, lambda o: let(starts(o), lambda at: cut(o, at)))
 
-    return let(F.struct(dealt(p["a"]).alias("a"), dealt(p["b"]).alias("b")), lambda q: F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.struct(pick(q["a"], g).alias("a"), pick(q["b"], g).alias("b"))))
+
+def _alone(cell: Column) -> Column:
+    return (F.abs(cell["c"]) == 1) & (_check(cell["k"]) == cell["h"])
 
 
 def differing(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
     """struct<n, left> of how many digests differ between two arrays, as peeled from the difference of their sketches,
-    and how many are in groups that no retry could peel (those are counted as differing)."""
+    and how many no retry could peel (those are counted as differing)."""
+    signed = lambda side, sign: F.transform(side, lambda d: F.struct(F.lit(0).cast("bigint").alias("g"), d.alias("k"), F.lit(sign).alias("s")))
+    none = F.array().cast("array<struct<g:bigint,k:bigint,s:int>>")
+
+    def first(peeled: Column) -> Column:
+        rest = F.when(failed(peeled), F.concat(signed(a, 1), signed(b, -1))).otherwise(none)
+        return F.struct(F.when(failed(peeled), 0).otherwise(F.size(peeled["found"])).alias("n"), rest.alias("rest"), F.lit(ROOM // 2).cast("bigint").alias("room"))
 
-    def counted(n: Column, tried: Column) -> Column:
-        done = F.aggregate(tried, n, lambda total, q: total + F.when(failed(q["s"]), 0).otherwise(F.size(q["s"]["found"])))
-        rest = F.transform(F.filter(tried, lambda q: failed(q["s"])), lambda q: F.struct(q["a"].alias("a"), q["b"].alias("b")))
-        return F.struct(done.alias("n"), rest.alias("rest"))
+    def peeled(state: Column, table: Column, size: Column) -> Column:
+        filled = lambda x: (x["sum"]["c"] != 0) | (x["sum"]["k"] != 0)
+        mixed = F.filter(table, lambda x: filled(x) & ~_alone(x["sum"]))
+        n = state["n"] + F.size(F.filter(table, lambda x: _alone(x["sum"])))
+        return F.struct(n.alias("n"), F.flatten(F.transform(mixed, lambda x: x["inside"])).alias("rest"), size.alias("room"))
 
-    def retry(state: Column, level: Column) -> Column:
-        groups = F.flatten(F.transform(state["rest"], lambda p: _split(p, level)))
-        tried = F.transform(groups, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), peel(cells(p["a"], level, p["b"], NARROW), level, NARROW).alias("s")))
-        return F.when(F.size(state["rest"]) > 0, let(tried, lambda t: counted(state["n"], t))).otherwise(state)
+    def retry(state: Column, step: Column) -> Column:  # ``room`` is the number of cells of a table, but before the first one those for each digest
+        size = F.when(step == 0, 2 * state["room"] * F.size(state["rest"])).when(step % TABLES == 0, 2 * state["room"]).otherwise(state["room"])
+        again = let(size, lambda cells_: let(_filled(state["rest"], cells_, step), lambda table: peeled(state, table, cells_)))
+        return F.when(F.size(state["rest"]) > 0, again).otherwise(state)
 
-    first = F.array(F.struct(a.alias("a"), b.alias("b"), peel(subtract(cells_a, cells_b), F.lit(0)).alias("s")))
-    state = F.aggregate(F.sequence(F.lit(1), F.lit(RETRIES)), let(first, lambda t: counted(F.lit(0), t)), retry)
-    left = lambda s: F.aggregate(s["rest"], F.lit(0), lambda total, p: total + F.size(p["a"]) + F.size(p["b"]))
-    return let(state, lambda s: let(left(s), lambda k: F.struct((s["n"] + k).alias("n"), k.alias("left"))))
+    start = let(peel(subtract(cells_a, cells_b), F.lit(0)), first)
+    state = F.aggregate(F.sequence(F.lit(0), F.lit(RETRIES * TABLES - 1)), start, retry)
+    return let(state, lambda s: F.struct((s["n"] + F.size(s["rest"])).alias("n"), F.size(s["rest"]).alias("left")))
 
 
 def likeness(a: Column, b: Column, different: Column) -> Column:
@@ -217,8 +232,8 @@ def _range(bounds: list[tuple[int, int]]) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, next_text``: each row with the text of the row after it in descending
-    doc_id order; the first row follows the last.
+    """``doc_id, text, own, next_text, next_own``: each row with the text of the row after it in descending
+    doc_id order and both texts' digests and sketches, each made once; the first row follows the last.
 
     Rows are dealt into ranges of about ``RANGE_BYTES`` (more where there are over ``MOST_RANGES`` of them); the head
     of each range is also sent to the range before it.  Only the ranges' ends go to the driver.
@@ -238,34 +253,36 @@ def with_next(docs: DataFrame) -> DataFrame:
     dealt = rows.join(heads, ["ord", "begin"], "left").select("doc_id", "text", "ord", F.explode(copies).alias("at")).select("doc_id", "text", "ord", "at.b", "at.ghost")
     dealt = dealt.repartition(max(len(bounds) + 1, parallelism(spark)), "b")
     order = Window.partitionBy("b").orderBy("ghost", F.col("ord").desc(), F.col("text").desc())
-    return dealt.withColumn("next_text", F.lead("text").over(order)).where("ghost = 0").select("doc_id", "text", "next_text")
+    dealt = dealt.withColumn("own", sketched(F.col("text")))
+    following = dealt.withColumn("next", F.lead(F.struct("text", "own")).over(order)).where("ghost = 0")
+    return following.select("doc_id", "text", "own", F.col("next.text").alias("next_text"), F.col("next.own").alias("next_own"))
 
 
 def compare(versions: DataFrame) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next, unpeeled`` of rows ``doc_id, text, next_text``.
+    near_next, unpeeled`` of rows ``doc_id, text, own, next_text, next_own``.
 
     The edited text has its last third of code points replaced by the next text's first ones.  A fingerprint
     is the sketch of ``3 * CELLS`` cells and the number of digests: its size doesn't grow with the text, and it
     answers differences of up to some 18 digests alone.  For larger ones the sketches are made again
     larger, from the same digests, so that both likenesses are exact.
-    ``unpeeled`` counts digests of groups that no retry could peel (0 but for chance).
+    ``unpeeled`` counts digests that no retry could peel (0 but for chance).
     """
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
-    rows = versions.select("doc_id", "text", "next_text", n.cast("bigint").alias("n_chars"), edited.alias("edited"))
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("n"))
-    rows = rows.withColumns({f"c{side}": cells(F.col(side), F.lit(0)) for side in "aen"})
-    rows = rows.withColumns({"by_edit": differing(F.col("a"), F.col("e"), F.col("ca"), F.col("ce")), "by_next": differing(F.col("a"), F.col("n"), F.col("ca"), F.col("cn"))})
+    rows = versions.select("doc_id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), "own", "next_own")
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "next_own", sketched(F.col("edited")).alias("edited_own"))
+    differ = lambda other: differing(F.col("own.d"), F.col(f"{other}.d"), F.col("own.c"), F.col(f"{other}.c"))
+    rows = rows.withColumns({"by_edit": differ("edited_own"), "by_next": differ("next_own")})
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        as_text(F.col("a"), F.col("ca")).alias("fingerprint"),
-        as_text(F.col("e"), F.col("ce")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("e"), F.col("by_edit.n")).alias("near_edited"),
-        likeness(F.col("a"), F.col("n"), F.col("by_next.n")).alias("near_next"),
+        as_text(F.col("own.d"), F.col("own.c")).alias("fingerprint"),
+        as_text(F.col("edited_own.d"), F.col("edited_own.c")).alias("edited_fingerprint"),
+        likeness(F.col("own.d"), F.col("edited_own.d"), F.col("by_edit.n")).alias("near_edited"),
+        likeness(F.col("own.d"), F.col("next_own.d"), F.col("by_next.n")).alias("near_next"),
         (F.col("by_edit.left") + F.col("by_next.left")).alias("unpeeled"),
     )
 

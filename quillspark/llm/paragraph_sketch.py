@@ -31,7 +31,7 @@ ROOM, RETRIES = 4, 6
 #: Rounds of peeling; each takes out every digest that stands alone in a cell.
 ROUNDS = 8
 #: Characters of a text that are cut finer, those of the longest piece, and digests that are numbered together.
-HEAD, LONGEST, STRETCH = 400, 200, 512
+HEAD, LONGEST, STRETCH = 400, 40, 512
 #: Text bytes of a range of neighbouring documents, and the most ranges (two numbers of each go to the driver).
 RANGE_BYTES, MOST_RANGES = 64 << 20, 1 << 16
 _FIRST, _TOP, _END = -(1 << 63), (1 << 63) - 1, (1 << 31) - 1

@@ -167,3 +167,9 @@ def polar(value: Column, place: Column, places: Column, radius: float = 100.0) -
     """struct<x, y> of a value of 0 to 100 on a radar's spoke, the first one upwards."""
     angle = 2 * 3.141592653589793 * place / places - 3.141592653589793 / 2
     return F.struct((radius * value / 100 * F.cos(angle)).alias("x"), (radius * value / 100 * F.sin(angle)).alias("y"))
+
+
+def leading_class(note: Column) -> Column:
+    """The class that a note begins with: its text before the first semicolon, lower-cased; NULL where there is none."""
+    name = F.lower(F.trim(F.split_part(note, F.lit(";"), F.lit(1))))
+    return F.when(name != "", name)

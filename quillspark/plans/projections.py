@@ -176,3 +176,31 @@ def vote_records(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "supplier").select(k.alias("day"), F.posexplode(F.filter(lines, lambda x: x.isNotNull())).alias("ord", "line"))
     found = parsers.divisions(rows, ["day"])
     return found.select("day", F.col("ayes.total").alias("ayes"), F.col("noes.total").alias("noes"), "result", F.array_join("flags", " ").alias("flags"))
+
+
+@query("""
+WITH c AS (SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'checked' WHEN 1 THEN 'reported' WHEN 2 THEN 'guess' END AS class FROM supplier)
+SELECT id, class, coalesce(class IN ('checked', 'reported'), false) AS settled FROM c""")
+def note_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The class that each note begins with, and whether it is one of the settled ones."""
+    k = F.col("s_suppkey")
+    note = _pick(k, F.concat(F.lit("Checked; see "), k.cast("string"), F.lit("; twice")), " reported ", "GUESS;none", "; no class")
+    rows = table(spark, d, "supplier").select(k.alias("id"), R.leading_class(note).alias("class"))
+    return rows.withColumn("settled", F.coalesce(F.col("class").isin("checked", "reported"), F.lit(False)))
+
+
+@query("""
+WITH k AS (SELECT DISTINCT l_returnflag || l_linestatus || (l_suppkey % 3) AS attr, l_partkey AS key FROM lineitem), n AS (SELECT attr, count(*) AS n FROM k GROUP BY 1),
+j AS (SELECT a.attr AS a, b.attr AS b, count(*) AS n_both FROM k a JOIN k b ON a.key = b.key AND a.attr < b.attr GROUP BY 1, 2)
+SELECT a, b, n_both, round(n_both / (na.n + nb.n - n_both)::DOUBLE, 10) AS jaccard FROM j JOIN n na ON na.attr = a JOIN n nb ON nb.attr = b ORDER BY jaccard DESC, a, b LIMIT 5""")
+def top_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """The five pairs of attributes that share most of their keys."""
+    attr = F.concat("l_returnflag", "l_linestatus", (F.col("l_suppkey") % 3).cast("string"))
+    k = table(spark, d, "lineitem").select(attr.alias("attr"), F.col("l_partkey").alias("key")).distinct()
+    attrs = k.groupBy("key").agg(F.sort_array(F.collect_set("attr")).alias("attrs"))  # a key has as many attributes as there are, a few
+    pairs = attrs.select(F.explode("attrs").alias("a"), "attrs").select("a", F.explode(F.filter("attrs", lambda x: x > F.col("a"))).alias("b"))
+    n = k.groupBy("attr").agg(F.count("*").alias("n"))
+    j = pairs.groupBy("a", "b").agg(F.count("*").alias("n_both"))
+    j = j.join(n.select(F.col("attr").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("attr").alias("b"), F.col("n").alias("nb")), "b")
+    share = F.round(F.col("n_both") / (F.col("na") + F.col("nb") - F.col("n_both")), 10)
+    return j.select("a", "b", "n_both", share.alias("jaccard")).orderBy(F.desc("jaccard"), "a", "b").limit(5)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.mentions import find_mentions
 
 
 def shared_shingles(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int) -> DataFrame:
@@ -22,25 +23,14 @@ def shared_shingles(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     return a.join(b, (F.col("__ha") == F.col("__hb")) & (F.col("__a") == F.col("__b"))).groupBy(left_id, right_id).agg(F.count("*").alias("shared"))
 
 
-def containing(texts: DataFrame, quotes: DataFrame, text_id: str, quote_id: str, k: int = 4, key: Column | None = None) -> DataFrame:
+def containing(texts: DataFrame, quotes: DataFrame, text_id: str, quote_id: str) -> DataFrame:
     """``quote_id, text_id``: the texts that contain each quote, both as ``T.quote_key``.
 
-    Only texts with the quote's rarest (least hashed) run of ``k`` words are compared, so the join
-    is on a key; quotes of fewer words are compared by their whole key's first word run.
+    One pass over the texts with an automaton of all quotes; NULL and empty quotes are in none.
     """
-    q = quotes.select(quote_id, T.quote_key(F.col("text")).alias("__q")).where("__q <> ''")
-    inner = lambda t: F.split(t, " ")
-    # words at the ends of a quote may be parts of longer words in the text: they don't make keys
-    core = F.slice(inner(F.col("__q")), 2, F.greatest(F.lit(0), F.size(inner(F.col("__q"))) - 2))
-    runs = F.transform(T.shingles(core, k), lambda s: F.xxhash64(s))
-    q = q.withColumn("__h", F.array_min(runs))
-    short = q.where("__h is null")
-    t = texts.select(text_id, T.quote_key(F.col("text")).alias("__t"))
-    hashes = t.select(text_id, "__t", F.array_distinct(F.transform(T.shingles(inner(F.col("__t")), k), lambda s: F.xxhash64(s))).alias("__hs"))
-    keys = hashes.select(text_id, F.explode("__hs").alias("__h")).join(q.where("__h is not null"), "__h").select(text_id, quote_id, "__q")
-    long_hits = keys.join(t, text_id).where(F.contains("__t", F.col("__q"))).select(quote_id, text_id)
-    short_hits = t.join(F.broadcast(short), F.contains("__t", F.col("__q"))).select(quote_id, text_id)  # too short for a key
-    return long_hits.unionByName(short_hits).distinct()
+    q = quotes.select(F.col(quote_id).alias("quote"), T.quote_key(F.col("text")).alias("key"))
+    t = texts.select(F.col(text_id).alias("id"), T.quote_key(F.col("text")).alias("t"))
+    return find_mentions(t, "id", ["t"], q, "quote", "key", folded=False).select(F.col("quote").alias(quote_id), F.col("id").alias(text_id)).distinct()
 
 
 def unique_index(names: DataFrame, id_: str, key: Column) -> DataFrame:

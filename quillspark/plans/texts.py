@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import evidence, match, packing, scorer, segments
+from quillspark.operators import evidence, match, mentions, packing, scorer, segments
 from quillspark.plans.registry import query, table
 from quillspark.sources import html
 
@@ -108,10 +108,7 @@ def entity_mentions(spark: SparkSession, d: str) -> DataFrame:
     alias = F.lower(F.array_join(F.slice(F.split(F.trim("text"), r"[ \t\n\r\f]+"), 1, 4), " "))
     aliases = table(spark, d, "benchmark").select("item_id", alias.alias("alias"))
     docs = table(spark, d, "documents").select("doc_id", F.lower(T.collapse(F.col("text"))).alias("t"))
-    # the alias's two middle words stand as whole words in the text: they are the join key
-    middle = F.array_join(F.slice(F.split("alias", " "), 2, 2), " ")
-    keyed = docs.select("doc_id", F.explode(F.array_distinct(T.shingles(F.split("t", " "), 2))).alias("k")).join(aliases.select("item_id", "alias", middle.alias("k")), "k").select("doc_id", "item_id", "alias")
-    return keyed.join(docs, "doc_id").where(F.contains("t", F.col("alias"))).select("doc_id", "item_id")
+    return mentions.find_mentions(docs, "doc_id", ["t"], aliases, "item_id", "alias", folded=False).select("doc_id", "item_id")
 
 
 @query("""

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from datetime import date
 
@@ -156,3 +157,18 @@ def test_repeated_labels_and_ids_count_once(spark):
     one = toxicity.learn(docs_of(spark, rows), labels.where("doc_id < 200"))
     many = toxicity.learn(docs_of(spark, rows + rows[:40] * 3), labels.unionByName(labels).unionByName(labels))
     assert one == many and "vile" in one.weights
+
+
+def test_long_runs_are_scanned_in_linear_time():
+    feistel = pii.Feistel(b"key")
+
+    def seconds(text):
+        began = time.process_time()
+        pii.find(text, feistel)
+        return time.process_time() - began
+
+    for unit in ("1 ", "12-", "AB12 ", "AKIA-AAAAAAAAAAAAAAAA-", "GB12 ABCD ", "4111 1111 1111 1112 "):
+        short, long = seconds(unit * 4000), seconds(unit * 32_000)
+        assert long < 12 * short + 0.5, unit
+    card = "1 " * 500 + "x 4111 1111 1111 1111 x"
+    assert [(a, b, kind) for a, b, kind, _ in pii.find(card, feistel)][-1][1:] == (1021, "card")

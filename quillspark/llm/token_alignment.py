@@ -3,8 +3,8 @@
 A text is encoded by a byte-level BPE (A, with a space before the text) and a sentencepiece
 BPE (B, which adds that space itself).  Neither makes a token that spans a change from a
 character that isn't white space to a space, so the text is cut there; each distinct piece
-is encoded and aligned once and kept in a cache bounded in bytes, and a text's alignment is
-its pieces' in a row.
+is encoded once and kept in a cache bounded in bytes.  The ids of a batch of texts stand one
+after another, and offsets, groups, links and their text come from whole-array operations.
 
 The pairs of ids that end together are packed into 64-bit keys, B's id above A's.  Each
 task counts its own (``np.unique``) and puts out partial counts; these are range-partitioned
@@ -24,7 +24,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +35,8 @@ from quillspark.llm.common import bounded, limit_batches, materialize, paralleli
 
 #: Text bytes that are cut into pieces at a time.
 PART_BYTES = 1 << 20
-#: Pieces beyond this many characters aren't kept.
-LONGEST_KEPT = 64
-#: Text bytes of the kept pieces of one Python worker; it starts anew beyond that.
-CACHE_BYTES = 4 << 20
+#: Bytes of the kept pieces of one Python worker, with ``PIECE_BYTES`` more for each; it starts anew beyond that.
+CACHE_BYTES, PIECE_BYTES = 128 << 20, 240
 #: Distinct keys that a task counts before it puts them out.
 COUNTED_KEYS = 1 << 20
 #: Links that are looked up at a time.
@@ -87,53 +85,113 @@ class Aligner:
             raise ValueError("the second tokenizer has tokens that span words")
         if not all(self.a_bytes) or not all(self.b_bytes):
             raise ValueError("a token without bytes can't be aligned")
+        if max(len(self.a_bytes), len(self.b_bytes)) > len(_decimals()[1]):
+            raise ValueError("a vocabulary is too large for the table of digits")
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, tuple[int, int, bytes, np.ndarray] | None] = {}
+        self.slots: dict[str, int] = {}
         self.kept = 0
-
-    def align_pieces(self, pieces: list[str]) -> Iterator[tuple[int, int, bytes, np.ndarray] | None]:
-        """(A ids, B ids, groups, packed links) of each piece with the space before it; None where the
-        tokens' bytes aren't the text's."""
-        ours = self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)
+        self.ids = [np.zeros(1 << 16, np.int64) for _ in "ab"]
+        self.used = [0, 0]
+        self.starts, self.sizes = np.zeros((2, 0), np.int64), np.zeros((2, 0), np.int64)
+        self.bad = np.zeros(0, bool)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode new pieces, each with the space before it; they have the next slots in order."""
+        ours = [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
         theirs = self.b.encode(pieces, num_threads=1)
-        for piece, a, b in zip(pieces, (e.ids for e in ours), theirs):
-            want = (" " + piece).encode()
-            a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(a_parts) != want or b"".join(b_parts) != want:
-                yield None
-                continue
-            a_at = {end: k for k, end in enumerate(accumulate(map(len, a_parts)), 1)}
-            groups, keys, i, j = [], [], 0, 0
-            for k, end in enumerate(accumulate(map(len, b_parts)), 1):
-                if at := a_at.get(end):
-                    groups.append(",".join(map(str, a[i:at])) + "|" + ",".join(map(str, b[j:k])))
-                    keys.append(b[k - 1] << 32 | a[at - 1])
-                    i, j = at, k
-            yield len(a), len(b), ";".join(groups).encode(), np.array(keys, np.int64)
+        want = [(" " + p).encode() for p in pieces]
+        lengths = np.fromiter(map(len, want), np.int64, len(want))
+        bad = np.zeros(len(pieces), bool)
+        starts, sizes = [], []
+        for k, (found, texts, size_of) in enumerate(((ours, self.a_bytes, self.a_sizes), (theirs, self.b_bytes, self.b_sizes))):
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.int64, int(n.sum()))
+            ends = np.cumsum(n)
+            covered = np.diff(np.concatenate([[0], np.cumsum(size_of[flat])])[ends], prepend=0)
+            if not np.array_equal(covered, lengths) or b"".join(map(texts.__getitem__, flat.tolist())) != b"".join(want):
+                bad |= np.fromiter((b"".join(map(texts.__getitem__, x)) != w for x, w in zip(found, want)), bool, len(want))
+            starts.append(self.used[k] + ends - n)
+            sizes.append(n)
+            if self.used[k] + len(flat) > len(self.ids[k]):
+                self.ids[k] = np.concatenate([self.ids[k][: self.used[k]], np.zeros(self.used[k] + 2 * len(flat), np.int64)])
+            self.ids[k][self.used[k] : self.used[k] + len(flat)] = flat
+            self.used[k] += len(flat)
+        self.starts = np.concatenate([self.starts, starts], axis=1)
+        self.sizes = np.concatenate([self.sizes, sizes], axis=1)
+        self.bad = np.concatenate([self.bad, bad])
+        self.kept += int(lengths.sum()) + PIECE_BYTES * len(pieces)
 
     def align(self, texts: list[str | None]) -> Iterator[tuple[int, int, bytes, np.ndarray] | None]:
         """(A ids, B ids, groups, packed links) of each text; None where there are none."""
         if self.kept > CACHE_BYTES:
             self.forget()
         cut = [(_CUT.split(t) if t[-1] == " " or t[0] == " " or _ODD.search(t) else t.split(" ")) if t else [] for t in texts]
-        fresh = list({p for pieces in cut for p in pieces if p not in self.known})
-        once = {}
-        for piece, found in zip(fresh, self.align_pieces(fresh)):
-            if len(piece) <= LONGEST_KEPT:
-                self.known[piece] = found
-                self.kept += len(piece.encode())
-            else:
-                once[piece] = found
-        known = self.known if not once else self.known | once
+        slots, fresh = self.slots, []
         for pieces in cut:
-            found = [known[p] for p in pieces]
-            if not found or None in found:
-                yield None
-                continue
-            a, b, groups, keys = zip(*found)
-            yield sum(a), sum(b), b";".join(groups), np.concatenate(keys)
+            for p in pieces:
+                if p not in slots:
+                    slots[p] = len(slots)
+                    fresh.append(p)
+        if fresh:
+            self.learn(fresh)
+        n_pieces = np.fromiter(map(len, cut), np.int64, len(cut))
+        at = np.fromiter(map(slots.__getitem__, chain.from_iterable(cut)), np.int64, int(n_pieces.sum()))
+        owner = np.repeat(np.arange(len(cut)), n_pieces)
+        usable = n_pieces > 0
+        usable[owner[self.bad[at]]] = False
+        keep = usable[owner]
+        at, owner = at[keep], owner[keep]
+        a, b = (ragged(self.ids[k], self.starts[k][at], self.sizes[k][at]) for k in (0, 1))
+        n_a, n_b = (np.bincount(owner, self.sizes[k][at], len(cut)).astype(np.int64) for k in (0, 1))
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        both = np.intersect1d(a_ends, b_ends, assume_unique=True)  # texts end there too, so groups don't cross them
+        a_last, b_last = np.searchsorted(a_ends, both), np.searchsorted(b_ends, both)
+        keys = b[b_last] << 32 | a[a_last]
+        group_ends = np.cumsum(n_a)
+        groups = np.searchsorted(a_last, group_ends - 1, side="right")  # groups up to the end of each text
+        texts_, text_ends = rendered(a, b, a_last, b_last)
+        firsts, byte_ends = np.concatenate([[0], groups[:-1]]), np.concatenate([[0], text_ends])
+        for ok, x, y, low, high in zip(usable.tolist(), n_a.tolist(), n_b.tolist(), firsts.tolist(), groups.tolist()):
+            yield (x, y, texts_[byte_ends[low] : max(byte_ends[low], byte_ends[high] - 1)], keys[low:high]) if ok else None
+
+
+#: Row i has the decimal digits of i and room for a separator behind them; the second has the digits' number.
+@cache
+def _decimals() -> tuple[np.ndarray, np.ndarray]:
+    ids = np.arange(1 << 17)
+    digits = np.zeros((len(ids), 7), np.uint8)
+    n = 1 + sum((ids >= 10**k).astype(np.int64) for k in range(1, 6))
+    for k in range(6):
+        own = n > k
+        digits[own, k] = 48 + ids[own] // 10 ** (n[own] - 1 - k) % 10
+    return digits, n
+
+
+def ragged(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """pool[starts[0] : starts[0] + sizes[0]] and so on, one after another."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def rendered(a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """``a1,a2|b1;`` of every group, one after another, and where each group's text ends.
+
+    ``a_last`` and ``b_last`` are the places of each group's last ids.
+    """
+    n_a, n_b = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
+    before = np.cumsum(n_a + n_b) - n_a - n_b  # ids of the groups before
+    ids, marks = np.zeros(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+    ids[np.arange(len(a)) + np.repeat(before - (a_last + 1 - n_a), n_a)] = a
+    ids[np.arange(len(b)) + np.repeat(before + n_a - (b_last + 1 - n_b), n_b)] = b
+    marks[before + n_a - 1], marks[before + n_a + n_b - 1] = ord("|"), ord(";")
+    digits, n = _decimals()
+    rows, sizes = digits[ids], n[ids] + 1
+    rows[np.arange(len(ids)), sizes - 1] = marks
+    ends = np.cumsum(sizes)
+    return rows[np.arange(7) < sizes[:, None]].tobytes(), ends[before + n_a + n_b - 1] if len(ends) else ends
 
 
 @cache
@@ -163,7 +221,6 @@ def align(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
             sizes = [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)]
             n_groups = pa.array([len(x[3]) for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *sizes, n_groups, pa.array([x[2] for x in found], pa.string()), pa.array([x[3].astype("<i8").tobytes() for x in found], pa.binary())], ["doc_id", "n_a", "n_b", "n_groups", "groups", "links"])
-        aligner.forget()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, groups string, links binary")

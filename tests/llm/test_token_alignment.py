@@ -89,11 +89,13 @@ def test_odd_texts_against_the_libraries(spark, libraries):
 
 
 def test_cache_forgets(monkeypatch, libraries):
-    monkeypatch.setattr(token_alignment, "CACHE_BYTES", 100)
+    monkeypatch.setattr(token_alignment, "CACHE_BYTES", 3000)
     aligner = token_alignment.Aligner(PATHS)
     for k in range(50):
-        next(aligner.align([f"some words number {k} and_a_word_that_is_far_longer_than_those_which_are_kept_in_the_cache_{k}"]))
-        assert aligner.kept < 200 and all(len(p) <= token_alignment.LONGEST_KEPT for p in aligner.known)
+        text = f"some words number {k} and_a_longer_word_{k}"
+        (found,) = aligner.align([text])
+        assert found[2].decode() == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in plain_groups(libraries, text))
+        assert aligner.kept < 5000 and len(aligner.slots) == len(aligner.bad) < 20
 
 
 def test_counts_in_many_shards(spark, monkeypatch):

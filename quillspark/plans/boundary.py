@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.json_rescue import rescued
 from quillspark.operators import echoed
+from quillspark.operators.ranking import shared_path
 from quillspark.plans.registry import query, table
+from quillspark.sources import listings
 from quillspark.streaming import strikes
 
 
@@ -72,3 +74,19 @@ def stopped_stages(spark: SparkSession, d: str) -> DataFrame:
     passes = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("event_type") == "purchase").cast("int").alias("written"), (F.col("event_type") == "error").alias("blocked"))
     found = strikes.stops(passes, "user_id", "ts", "written", "blocked", "event_id", F.expr("INTERVAL 36 HOURS"))
     return found.select("user_id", F.unix_micros("at").alias("at_us"), "reason")
+
+
+@query("""
+WITH m AS (SELECT *, strftime(o_orderdate, '%Y-%m') AS month FROM orders), p AS (SELECT *, CAST((row_number() OVER (PARTITION BY month ORDER BY o_orderkey) - 1) // 200 AS INTEGER) AS page FROM m),
+l AS (SELECT min(month) AS first FROM m)
+SELECT month, page, o_orderkey, o_orderstatus, o_totalprice FROM p, l WHERE month > first AND substr(month, 6) IN ('02', '07') AND page < 3""")
+def listed_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders laid out as a monthly listing of pages of 200, and the first three pages of two months of each year read back from it."""
+    path = shared_path(spark, "listing")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    listings.write_listing(orders, path, F.date_format("o_orderdate", "yyyy-MM"), [F.col("o_orderkey")], 200)
+    rows = listings.read_listing(spark, path)
+    first = rows.where("page = 0").agg(F.min("month")).first()[0]
+    months = [f"{int(first[:4]) + y}-{m}" for y in range(50) for m in ("02", "07")]
+    found = rows.where(F.col("month").isin(months) & (F.col("month") > first) & (F.col("page") < 3))
+    return found.select("month", "page", F.from_json("record", "o_orderkey bigint, o_orderstatus string, o_totalprice double").alias("r")).select("month", "page", "r.*")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quillspark.operators import chunks, mentions, ordered, votes
+from quillspark.operators import chunks, mentions, ordered, questions, votes
 from quillspark.plans.registry import query, table
 
 
@@ -45,8 +46,6 @@ l AS (SELECT l_shipdate, l_linestatus, l_quantity FROM lineitem)
 SELECT number, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity FROM l ASOF LEFT JOIN t ON l.l_shipdate >= t.begins GROUP BY 1, 2""")
 def lines_by_term(spark: SparkSession, d: str) -> DataFrame:
     """Lines counted by the number of the term that runs when they ship (terms begin with a year's last order)."""
-    from pyspark.sql.window import Window
-
     begins = table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("y")).agg(F.max("o_orderdate").alias("begins"))
     terms = begins.select("begins", F.row_number().over(Window.orderBy("begins")).alias("number"))  # a row a year
     found = ordered.numbered_at(table(spark, d, "lineitem").select("l_shipdate", "l_linestatus", "l_quantity"), "l_shipdate", terms, "begins", "number")
@@ -143,3 +142,22 @@ def alias_mentions(spark: SparkSession, d: str) -> DataFrame:
     full = items.select("item_id", F.array_join(F.slice(w, 1, 3), " ").alias("alias"), F.lit(False).alias("is_surname"))
     last = items.select("item_id", F.get(F.filter(w, lambda x: x.rlike(r"^[A-Za-zÀ-ž]{7,}$")), F.lit(0)).alias("alias"), F.lit(True).alias("is_surname"))
     return mentions.find_mentions(table(spark, d, "documents"), "doc_id", ["text", "source"], full.unionByName(last), "item_id", "alias", "is_surname")
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, role, string_split(text, chr(10))[1] AS said, length(text) AS n, conv_id // 10 AS day FROM conversations),
+f AS (SELECT *, min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS p FROM t), q AS (SELECT conv_id, said AS opening FROM f WHERE turn = p),
+r AS (SELECT f.*, q.opening, CASE WHEN role = 'assistant' THEN 'a' WHEN role = 'user' AND NOT n % 9 = 0 THEN 'q' END AS kind FROM f JOIN q USING (conv_id) WHERE turn > p AND trim(said) <> ''),
+k AS (SELECT *, lag(kind) OVER w AS before, lag(said) OVER w AS last, sum((kind = 'q')::INT) OVER w AS asked FROM r WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT conv_id, arg_min(role, turn) AS opens FROM r WHERE role IN ('user', 'assistant') GROUP BY 1),
+x AS (SELECT k.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM k JOIN s USING (conv_id) WHERE opens = 'assistant' AND kind = 'a' AND (before IS NULL OR before = 'q'))
+SELECT day || '-b' || lpad(dense_rank() OVER (PARTITION BY day ORDER BY conv_id)::VARCHAR, 2, '0') || '-' || i AS question_id, CAST(conv_id AS INTEGER) AS number, 'Ann Lee' AS asker, 'Bob Park-Hill' AS responder, trim(coalesce(last, opening)) AS question, trim(said) AS answer, CASE WHEN i > 0 THEN CAST(asked AS INTEGER) END AS supplementary_index FROM x""")
+def oral_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions and answers read from transcripts of the conversations, ten a day: users ask, the assistant answers."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text", F.min(F.when(F.col("role") == "user", F.col("turn"))).over(Window.partitionBy("conv_id")).alias("p")).where("turn >= p")
+    opens = (F.col("role") == "user") & (F.col("turn") == F.col("p"))
+    head = F.when(opens, F.concat(F.lit("Question No. "), "conv_id", F.lit("—Words\n1. Rt Hon ANN LEE (North—Hill) (14:44) to the Minister for Words: ")))
+    tag = F.when(F.col("role") == "assistant", F.when(F.col("turn") % 4 == 1, "Hon BOB PARK-HILL (Minister for Words: All) : ").otherwise("Bob Park-Hill: ")).when(F.col("role") == "user", F.when(F.length("text") % 9 == 0, "Ann Lee: I seek leave ").otherwise("Hon Ann Lee: ")).otherwise(F.lit("SPEAKER: "))
+    lines = c.select((F.col("conv_id") / 10).cast("bigint").alias("day"), "conv_id", "turn", F.posexplode(F.split(F.concat(F.coalesce(head, tag), "text"), "\n")).alias("i", "line"))
+    ordered_ = lines.select("day", (F.col("conv_id") * 10_000_000_000 + F.col("turn") * 1_000_000 + F.col("i")).alias("ord"), "line")
+    return questions.question_pairs(ordered_, ["day"], "ord", "line").select("question_id", "number", "asker", "responder", "question", "answer", "supplementary_index")

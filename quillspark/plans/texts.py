@@ -143,13 +143,19 @@ def url_fields(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.host(F.col("url")).alias("host"), (F.length("url") - F.length(F.replace("url", F.lit("/"), F.lit(""))) - 2).cast("bigint").alias("depth"), F.col("url").startswith("https").alias("secure"))
 
 
-@query()
+@query(r"""
+WITH a AS (SELECT page_id, url, html, regexp_replace(html, '(?s)<title>.*?</title>|<style.*?</style>|<script.*?</script>|<nav>.*?</nav>|<footer>.*?</footer>|<!--.*?-->|<![^>]*>', '', 'g') AS h FROM pages),
+b AS (SELECT *, regexp_replace(regexp_replace(h, '</?(p|br|li|h1|div|article)( [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t, regexp_replace(regexp_extract(h, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g') AS h1 FROM a),
+u AS (SELECT page_id, url, replace(replace(t, '&quot;', '"'), '&amp;', '&') AS t, replace(replace(h1, '&quot;', '"'), '&amp;', '&') AS h1 FROM b)
+SELECT page_id, url, trim(regexp_replace(h1, '\s+', ' ', 'g')) AS headline, CAST(NULL AS VARCHAR) AS author, CAST(NULL AS VARCHAR) AS date, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS content FROM u""")
 def page_articles(spark: SparkSession, d: str) -> DataFrame:
     """Headline, author, date and content of pages."""
     return html.articles(table(spark, d, "pages"))
 
 
-@query()
+@query(r"""
+WITH h AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+') AS base, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages), u AS (SELECT page_id, base || replace(unnest(l), '&amp;', '&') AS link, generate_subscripts(l, 1) AS i FROM h),
+f AS (SELECT page_id, link, min(i) AS i FROM u GROUP BY ALL) SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS position, link FROM f""")
 def page_links(spark: SparkSession, d: str) -> DataFrame:
     """Links of pages, absolute, once each and in order."""
     return html.links(table(spark, d, "pages"))

@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quillspark.plans import boundary, releases, timelines  # noqa: F401
+from quillspark.plans import boundary, exchange, releases, timelines  # noqa: F401
 from quillspark.plans.registry import ORACLES, QUERIES
 from tests.compare import connect, rows
 from tests.conftest import SF

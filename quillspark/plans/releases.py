@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import mixed
-from quillspark.operators import addresses, merge
+from quillspark.operators import addresses, evaluation, merge, roster
 from quillspark.operators.ranking import shared_path
 from quillspark.plans.registry import query, table
 from quillspark.sources import bundles
@@ -93,3 +93,56 @@ def addressed_windows(spark: SparkSession, d: str) -> DataFrame:
     addresses.write_addressed(numbered, path, "conv_id", "ord", "line", F.floor(F.length("line") / 4), 100)
     asked = table(spark, d, "conversations").select(F.concat_ws("#", "conv_id", "turn").alias("address")).unionByName(spark.createDataFrame([("nowhere#1",), ("no address",)], "address string"))
     return addresses.window_texts(spark, path, asked, "address").select("address", F.sha2("text", 256).alias("sha"), F.length("text").alias("n_chars"))
+
+
+@query("""
+WITH g AS (SELECT l_orderkey, avg(l_quantity) / 50 AS gold FROM lineitem GROUP BY 1), p AS (SELECT l_shipmode_ AS model, l_orderkey, gold, CASE WHEN l_linenumber % 5 <> 0 THEN l_quantity / 50 END AS pred FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode_ FROM lineitem) JOIN g USING (l_orderkey)),
+m AS (SELECT model, count(pred) AS n, count(*) - count(pred) AS skipped, avg(abs(pred - gold)) AS mae, avg(((pred >= 0.5) = (gold >= 0.5))::INT) FILTER (pred IS NOT NULL) AS binary_accuracy, CASE WHEN count(pred) >= 2 THEN corr(pred, CASE WHEN pred IS NOT NULL THEN gold END) END AS r FROM p GROUP BY 1)
+SELECT model, n, skipped, round(mae, 9) AS mae, round(binary_accuracy, 9) AS binary_accuracy, round(r, 9) AS r, CAST(row_number() OVER (ORDER BY coalesce(r, -1) DESC, model) AS INTEGER) AS place FROM m""")
+def model_table(spark: SparkSession, d: str) -> DataFrame:
+    """Guesses of each kind of line at its order's mean quantity: errors, skipped rows and places of the kinds."""
+    l = table(spark, d, "lineitem")
+    gold = l.groupBy("l_orderkey").agg((F.avg("l_quantity") / 50).alias("gold"))
+    rows = l.join(gold, "l_orderkey").select(F.concat("l_returnflag", "l_linestatus").alias("model"), F.col("l_orderkey").cast("string").alias("statement"), "gold", F.when(F.col("l_linenumber") % 5 != 0, F.col("l_quantity") / 50).alias("pred"))
+    rounded = [F.round(c, 9).alias(c) for c in ("mae", "binary_accuracy", "r")]
+    return evaluation.compare(rows, ["model"]).select("model", "n", "skipped", *rounded, "place")
+
+
+@query("""
+SELECT c.conv_id * 100 + c.turn AS window, m.model, CAST(r.repeat AS INTEGER) AS repeat FROM conversations c, (VALUES ('small'), ('large')) m(model), range(3) r(repeat)
+WHERE NOT (length(c.text) % 3 = 0 AND m.model = 'small') AND NOT (length(c.text) % 4 = 0 AND r.repeat = 1)""")
+def evaluation_plan(spark: SparkSession, d: str) -> DataFrame:
+    """What is left to run of every window, by two models, three times each."""
+    w = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("window"), F.length("text").alias("n"))
+    whole = evaluation.plan(w, "window", ["small", "large"], 3).join(w, "window")
+    done = whole.where("(n % 3 = 0 AND model = 'small') OR (n % 4 = 0 AND repeat = 1)")
+    return evaluation.plan(w, "window", ["small", "large"], 3, done)
+
+
+@query("""
+SELECT conv_id, count(*) AS n, string_agg('[' || k || ']' || chr(10) || 'Role: ' || role || CASE WHEN trim(said) <> '' THEN chr(10) || 'Said: ' || said ELSE '' END, chr(10) || chr(10) ORDER BY turn) AS prompt
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, CASE WHEN length(text) % 2 = 0 THEN text END AS said FROM conversations) GROUP BY 1""")
+def rendered_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Each conversation as a batch of numbered parts, what is missing left out."""
+    rows = table(spark, d, "conversations").withColumn("said", F.when(F.length("text") % 2 == 0, F.col("text")))
+    return evaluation.rendered(rows, ["conv_id"], "turn", [("Role", "role"), ("Said", "said")]).withColumn("n", F.col("n").cast("bigint"))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey, s_name FROM supplier), e AS (SELECT s_suppkey % 7 AS g, 'kept-' || s_suppkey AS id, lower(s_name) || ' ltd' AS name FROM s WHERE s_suppkey % 2 = 0)
+SELECT coalesce(e.id, trim(regexp_replace(lower(s_name || ' Ltd'), '[^a-z0-9]+', '-', 'g'), '-')) AS id, s_name || ' Ltd' AS name, array_to_string(list_sort(list_distinct(CASE WHEN e.id IS NOT NULL THEN [lower(s_name) || ' ltd', 'ltd', 'no ' || s_suppkey] ELSE [lower(s_name) || ' ltd', 'ltd'] END)), '|') AS aliases FROM s LEFT JOIN e ON e.name = lower(s_name) || ' ltd'""")
+def kept_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as a roster built anew, where those known before keep their ids and aliases."""
+    s = table(spark, d, "supplier").select("s_suppkey", F.concat("s_name", F.lit(" Ltd")).alias("name"))
+    old = s.where("s_suppkey % 2 = 0").select(F.concat(F.lit("kept-"), "s_suppkey").alias("id"), F.array(F.lower("name"), F.concat(F.lit("no "), "s_suppkey")).alias("aliases"))
+    return roster.rebuild(s.select("name", F.lit(None).cast("string").alias("party")), old).select("id", "name", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query("""
+WITH b AS (SELECT arg_max(p_partkey, p_partkey) AS bill, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS k FROM part GROUP BY 2)
+SELECT p_partkey AS vote, bill FROM part LEFT JOIN b ON p_partkey % 3 <> 0 AND b.k = regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g')""")
+def titles_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as votes on titles in other spelling, each with the last part of that title."""
+    p = table(spark, d, "part")
+    other = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Another "), "p_name")).otherwise(F.upper(F.replace("p_name", F.lit(" "), F.lit(" – "))))
+    return roster.join_titles(p.select(F.col("p_partkey").alias("vote"), other.alias("title")), "title", p.select("p_name", F.col("p_partkey").alias("bill")), "p_name", "bill", ["bill"]).select("vote", "bill")

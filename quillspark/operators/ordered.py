@@ -54,7 +54,8 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str,
     with the same keys and time the one with the greatest ``keep`` counts.  Where none is
     found, or a key or a time is NULL, the added columns are NULL.  ``within`` is a condition
     on the joined columns beyond which a match counts as none.  Both sides are united and
-    carried in one order; a time must be of one type on both sides.
+    carried in one order; a time may be of any type that is ordered and, for ``nearest``, can be subtracted,
+    the same on both sides.
     """
     if direction not in ("backward", "forward", "nearest"):
         raise ValueError(f"unknown direction {direction}")
@@ -70,7 +71,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str,
     if direction == "nearest":
         both = carried(both, k, order, {"before": value})
         both = carried(both, k, order, {"after": value}, backwards=True)
-        gap = lambda a, b: F.unix_micros(F.col(a).cast("timestamp")) - F.unix_micros(F.col(b).cast("timestamp"))
+        gap = lambda a, b: F.col(a) - F.col(b)  # noqa: E731  an interval of times, days of dates, a number of numbers
         earlier = F.col("before").isNotNull() & (F.col("after").isNull() | (gap("at", "before.at") <= gap("after.at", "at")))
         both = both.withColumn("match", F.when(earlier, F.col("before")).otherwise(F.col("after")))
     else:

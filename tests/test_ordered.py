@@ -76,3 +76,11 @@ def test_number_of_the_term(spark):
     days = spark.createDataFrame([("2019-01-01",), ("2023-10-05",), ("2023-10-06",), ("2026-05-27",), (None,)], "day string").selectExpr("date(day) AS day")
     got = {str(r["day"]): r["number"] for r in ordered.numbered_at(days, "day", terms, "begins", "number").collect()}
     assert got == {"2019-01-01": None, "2023-10-05": 53, "2023-10-06": 54, "2026-05-27": 54, "None": None}
+
+
+def test_nearest_of_dates_and_numbers(spark):
+    left, right = spark.createDataFrame([(1, 10), (2, 14), (3, 15)], "id int, n int"), spark.createDataFrame([(9, "a"), (20, "b")], "m int, v string")
+    assert {r["id"]: r["v"] for r in ordered.asof_join(left, right, [], "n", "m", ["v"], "nearest").collect()} == {1: "a", 2: "a", 3: "b"}
+    days = lambda df, c: df.withColumn(c, F.date_add(F.lit("2024-03-01").cast("date"), F.col(c)))
+    found = ordered.asof_join(days(left, "n"), days(right, "m"), [], "n", "m", ["v"], "nearest")
+    assert {r["id"]: r["v"] for r in found.collect()} == {1: "a", 2: "a", 3: "b"}

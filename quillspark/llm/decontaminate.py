@@ -63,17 +63,21 @@ def template(text: Column) -> Column:
 def _windows(tokens: Column, size: int) -> Column:
     """Hashes of all windows of ``size`` of the ``values`` of a text, in order: of their template, or of
     the values themselves where fewer than ``LITERALS`` are literal."""
-    slot = lambda t: F.substring(t, 1, 1).isin(_NAME, _NUMBER, _UNIT)
+    least = min(LITERALS, size)
+    slot = lambda t: t < F.lit("\u0004")  # noqa: E731  the marks are below every other token
     bare = F.array(F.transform(tokens, lambda t: F.xxhash64(F.when(slot(t), F.substring(t, 1, 1)).otherwise(t))))
-    full = F.array(F.transform(tokens, lambda t: F.xxhash64(t)))
+    places = F.filter(F.transform(tokens, lambda t, i: F.when(slot(t), i)), lambda i: i.isNotNull())
     starts = F.when(F.size(tokens) >= size, F.sequence(F.lit(1), F.size(tokens) - (size - 1))).otherwise(F.array().cast("array<int>"))
+    # a window is poor in literals where so many slots stand close together; most texts have none
+    crowded = lambda s: F.exists(F.transform(s, lambda p, j: F.coalesce(F.get(s, j + (size - least)) - p < size, F.lit(False))), lambda x: x)
 
-    def hashes(b: Column, f: Column) -> Column:
-        # a literal's two hashes are equal
-        kinds = F.array(F.transform(F.arrays_zip(b.alias("b"), f.alias("f")), lambda x: F.when(x["b"] == x["f"], 1).otherwise(0)))
-        return _let(kinds[0], lambda k: F.transform(starts, lambda i: F.when(F.size(F.array_remove(F.slice(k, i, size), 0)) >= min(LITERALS, size), F.xxhash64(F.slice(b, i, size))).otherwise(F.xxhash64(F.slice(f, i, size), F.lit(1)))))
+    def tested(b: Column) -> Column:
+        kinds, full = F.transform(tokens, lambda t: F.when(slot(t), 0).otherwise(1)), F.transform(tokens, lambda t: F.xxhash64(t))
+        window = lambda k, f, i: F.when(F.size(F.array_remove(F.slice(k, i, size), 0)) >= least, F.xxhash64(F.slice(b, i, size))).otherwise(F.xxhash64(F.slice(f, i, size), F.lit(1)))
+        return _let(kinds, lambda k: _let(full, lambda f: F.transform(starts, lambda i: window(k, f, i))))
 
-    return _let(bare[0], lambda b: _let(full[0], lambda f: hashes(b, f)))
+    plain = lambda b: F.transform(starts, lambda i: F.xxhash64(F.slice(b, i, size)))
+    return _let(bare[0], lambda b: _let(places, lambda s: F.when(crowded(s), tested(b)).otherwise(plain(b))))
 
 
 def _key(docs: DataFrame) -> Column:

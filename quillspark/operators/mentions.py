@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of names in one automaton; a node a character takes up to some 100 bytes.
@@ -27,6 +27,15 @@ def fold(text: str | None) -> str:
     return unicodedata.normalize("NFKD", text or "").encode("ascii", "ignore").decode().lower()
 
 
+def folded_text(text: Column) -> Column:
+    """``fold`` of a column; for names, since texts are folded where they are searched."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([fold(t) for t in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")(text)
+
+
 def _is_word(c: str) -> bool:
     return c.isalnum() or c == "_"
 

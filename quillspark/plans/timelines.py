@@ -137,10 +137,10 @@ SELECT doc_id, item_id, CASE WHEN contains(t, full_name) OR contains(lower(autho
 WHERE contains(t, full_name) OR contains(lower(author), full_name) OR (surname IS NOT NULL AND contains(t, surname) AND regexp_matches(t, '\b' || surname || '\b'))""")
 def alias_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Documents that mention an item by its first three words, or else by its first long word as a whole word."""
-    w = F.split(F.col("text"), r"[ \t\n\r\f]+")
-    items = table(spark, d, "benchmark")
+    w = F.split("text", r"[ \t\n\r\f]+")
+    items = table(spark, d, "benchmark").select("item_id", mentions.folded_text(F.col("text")).alias("text"))  # a word is long by the letters that folding leaves
     full = items.select("item_id", F.array_join(F.slice(w, 1, 3), " ").alias("alias"), F.lit(False).alias("is_surname"))
-    last = items.select("item_id", F.get(F.filter(w, lambda x: x.rlike(r"^[A-Za-zÀ-ž]{7,}$")), F.lit(0)).alias("alias"), F.lit(True).alias("is_surname"))
+    last = items.select("item_id", F.get(F.filter(w, lambda x: x.rlike(r"^[a-z]{7,}\z")), F.lit(0)).alias("alias"), F.lit(True).alias("is_surname"))
     return mentions.find_mentions(table(spark, d, "documents"), "doc_id", ["text", "source"], full.unionByName(last), "item_id", "alias", "is_surname")
 
 

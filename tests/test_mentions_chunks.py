@@ -36,6 +36,16 @@ def test_mentions_against_brute_force(spark, block):
     assert len(found) == len(set(found)) and set(found) == plain_mentions(texts, names)
 
 
+def test_alias_is_the_first_long_word_after_folding(spark, tmp_path):
+    from quillspark.plans.timelines import alias_mentions
+
+    items = [(1, "Den dem ein Straßen langeswort hier"), (2, "a b c stra–ssen")]  # folded: straen, too short; strassen
+    docs = [(1, "Im Straen hier", None), (2, "ein langeswort", None), (3, "Ein LANGESWORT hier", None), (4, "strassen", "x")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, alias_mentions(spark, str(tmp_path)).collect())) == [(2, 1, "surname"), (3, 1, "surname"), (4, 2, "surname")]
+
+
 def test_mentions_of_nobody_and_unfolded(spark):
     texts, names = spark.createDataFrame([(1, "One Two"), (1, "One Two"), (None, "two")], "place int, t string"), spark.createDataFrame([("k", "Two")], "via string, n string")
     assert sorted((str(r[0]), r[1]) for r in mentions.find_mentions(texts, "place", ["t"], names.selectExpr("via AS who", "n"), "who", "n", folded=False).collect()) == [("1", "k"), ("1", "k")]

@@ -57,6 +57,14 @@ def test_captions_and_archive(spark):
     assert [(r["url"], r["ts"]) for r in files.archive_candidates(index, "2024").collect()] == [("https://x.org/a", "20240102000000")]
 
 
+def test_html_references_without_a_semicolon_stay(spark):
+    page = "<h1>a &amp;&amp;&amp</h1><p>&lt;b&gt; &#65;&#x42; &am &copy &copyx; R&D & &</p><a href='/x?a=1&amp;b=2&copy=3'>l</a>"
+    pages = spark.createDataFrame([(1, "https://x.org/", page)], "page_id int, url string, html string")
+    got = html.articles(pages).first()
+    assert (got["headline"], got["content"]) == ("a &&&amp", "a &&&amp\n<b> AB &am &copy &copyx; R&D & &\nl")
+    assert html.links(pages).first()["link"] == "https://x.org/x?a=1&b=2&copy=3"
+
+
 def test_html(spark):
     page = """<html><head><title>Site | Story</title><meta property="og:title" content="Story &amp; more"><meta name="author" content="A. Writer">
     <script>var x = "<p>no</p>"</script></head><body><nav><a href="/home">Home</a></nav><time datetime="2024-02-03T10:00"></time><h1>Story</h1><p>First  para.<p>Second<br>line <a href="b.html#part">b</a> <a href="mailto:x@y">m</a><a href="/home">again</a></body>"""

@@ -30,9 +30,10 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of least doc_id."""
+    """One document of each group of near-duplicates stays: the one of least doc_id.  Documents are linked by
+    their SimHash fingerprints, as in op8, and also where their shingles are 0.8 similar."""
     ship(spark)
-    return similar.keep_one_of_each(docs).select(docs.columns)
+    return similar.keep_one_of_each(docs, words_in_shingle=3).select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import bounded, limit_batches, materialize, parallelism
 from quillspark.llm.components import connected_components
+from quillspark.llm.simhash import near_duplicates
 
 LANES = 4
 #: Chance that two texts of similarity 0.8 differ in a bit, and that they meet in no cell.
@@ -292,17 +293,32 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> D
     return rows.select("ord", "key").join(label, "key", "left").select("ord", "key", F.coalesce("component", "key").alias("component"))
 
 
-def keep_one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, words_in_shingle: int | None = None) -> DataFrame:
     """The rows of ``docs`` without near-duplicates, with all columns: of each group of rows
     joined by word-shingle similarity, the one of least doc_id stays.
 
+    With ``words_in_shingle``, rows that ``simhash.near_duplicates`` links are joined as well: a group is
+    what can be reached by links of either kind.
+
     NULL and empty texts are a group of their own.  NULL ids come last; of repeated or equal ids the row of
     least text hash stays, and of identical rows one.  An empty table gives an empty table.
     """
     last = (1 << 63) - 1
     keyed = docs.withColumn("__ord", F.xxhash64("doc_id", "text"))
-    groups = similar_groups(keyed.select(F.col("__ord").alias("ord"), "text"), size, similarity).select("ord", "component").distinct()
+    rows = keyed.select(F.col("__ord").alias("ord"), "text")
+    linked = near_duplicates(rows.withColumnRenamed("ord", "doc_id"), words_in_shingle).select(F.col("doc_id").alias("ord"), F.col("component_id").alias("near")).distinct() if words_in_shingle else None
+    groups = similar_groups(rows, size, similarity).select("ord", "component").distinct()
+    if linked is not None:
+        groups = materialize(_united(groups, linked), "op8-united")
     ids = keyed.select(F.col("__ord").alias("ord"), F.struct(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(last)).alias("i"), F.col("__ord").alias("o")).alias("rank")).distinct()
     chosen = groups.join(ids, "ord").groupBy("component").agg(F.min("rank").alias("rank")).select(F.col("rank.o").alias("__ord"))
     chosen = materialize(chosen, "op8-kept")
     return keyed.join(chosen, "__ord", "left_semi").dropDuplicates(["__ord"]).drop("__ord")
+
+
+def _united(groups: DataFrame, linked: DataFrame) -> DataFrame:
+    """``ord, component``: rows grouped by ``component`` of the first or ``near`` (the least ``ord`` reached) of the second."""
+    own = groups.groupBy("component").agg(F.min("ord").alias("a"))
+    both = materialize(groups.join(own, "component").select("ord", "a").join(linked, "ord").select("ord", "a", F.col("near").alias("b")), "op8-both")
+    label = connected_components(both.select("a", "b")).withColumnRenamed("node", "a")
+    return both.join(label, "a", "left").select("ord", F.coalesce("component", "a").alias("component"))

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 
 import corpus_pipeline
-from quillspark.llm import similar
+from quillspark.llm import simhash, similar
 from tests.conftest import SF
 from tests.llm.helpers import docs_of
 from tests.llm.test_simhash import union
@@ -93,6 +93,26 @@ def test_one_of_each_group_stays(spark):
     assert similar.keep_one_of_each(docs_of(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_the_pipeline_are_linked_by_fingerprint_or_similarity(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    # one of many tries: 3 bits or fewer apart, though fewer than 0.8 of the 5-word shingles agree
+    for seed in range(5000):
+        base = " ".join(rng.choices(words, k=45))
+        other = edited(base, 2, seed)
+        a, b = shingles(base), shingles(other)
+        if len(a & b) < 0.8 * len(a | b) and bin(simhash.fingerprint(base, 3) ^ simhash.fingerprint(other, 3)).count("1") <= 3:
+            break
+    else:
+        raise AssertionError("no such pair")
+    long = " ".join(f"l{i}" for i in range(300))
+    chain = edited(long, 6, 3)  # similar to the text, and linked to it by similarity alone
+    assert bin(simhash.fingerprint(long, 3) ^ simhash.fingerprint(chain, 3)).count("1") > 3
+    rows = [(1, base), (2, other), (3, long), (4, chain), (5, "a text of its own with seven words"), (6, long + " ")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs_of(spark, rows), SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5]
+
+
 def test_stages_keep_the_columns_and_only_remove(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = {r["doc_id"]: r["text"] for r in docs.collect()}

@@ -209,3 +209,16 @@ def test_spoken_turns(spark):
     rows = [(1, i, s) for i, s in enumerate(["Dr ANN SMITH (Minister of Roads): We will build.", "Without a tag here.", "SPEAKER: Order.", "BOB JONES: Why: because?", "no speaker"])]
     got = parsers.speaker_lines(spark.createDataFrame(rows, "d int, ord int, line string"), "line").orderBy("ord").collect()
     assert [(r["speaker"], r["said"]) for r in got] == [("Dr ANN SMITH (Minister of Roads)", "We will build."), (None, "Without a tag here."), ("SPEAKER", "Order."), ("BOB JONES", "Why: because?"), (None, "no speaker")]
+
+
+def test_scorer_gets_bounded_batches(spark):
+    class Bounded:
+        def __call__(self, texts):
+            if len(texts) > 1 and sum(len(t or "") for t in texts) > scorer.PIECE_BYTES:
+                raise ValueError("too much at once")
+            return [[("a", "s", 0.5)] * (0 if t is None else 3) for t in texts]
+
+    long = "x" * (scorer.PIECE_BYTES // 2 - 10)
+    rows = spark.createDataFrame([(i, None if i == 4 else long * 3 if i == 2 else long) for i in range(9)], "window_id int, text string").coalesce(1)
+    got = sorted(tuple(r) for r in scorer.score(rows, Bounded()).collect())
+    assert got == sorted((i, "a", k, "s", 0.5) for i in range(9) if i != 4 for k in range(3))

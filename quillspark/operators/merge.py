@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from quillspark.sources import bundles
 
+#: Rows of all sides that one task merges, about.
+TASK_ROWS = 200_000
+
 
 def merge3(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[str], may_add: bool = False) -> tuple[DataFrame, DataFrame]:
     """(merged rows, conflicts ``keys, kind, column, base, ours, theirs`` with values as text).
@@ -32,7 +35,9 @@ def merge3(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[str],
     of = lambda n: F.max(F.when(F.col("side") == n, F.struct("row")))
     count = lambda n: F.count_if(F.col("side") == n)
     most = F.greatest(count("base"), count("ours"), count("theirs"))
-    met = every.groupBy(*k).agg(of("base").alias("b"), of("ours").alias("o"), of("theirs").alias("t"), most.alias("n"))
+    # dealt by key first, into tasks of so many rows: a key has a row a side, so that combining where the rows are read would only sort whole inputs
+    parts = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-every.count() // TASK_ROWS))
+    met = every.repartition(parts, *k).groupBy(*k).agg(of("base").alias("b"), of("ours").alias("o"), of("theirs").alias("t"), most.alias("n"))
     b, o, t = F.col("b"), F.col("o"), F.col("t")
     same = lambda x, y: x.eqNullSafe(y)
     null_key = reduce(lambda x, y: x | y, (F.col(c).isNull() for c in k))

@@ -111,3 +111,12 @@ def test_a_run_that_dies_leaves_the_old_bundle(spark, tmp_path, monkeypatch):
     broken = new | {"root": "0" * 64}
     bundles.commit(spark, path, broken)
     assert [(r["part"], r["problem"]) for r in bundles.verify_bundle(spark, path).collect()] == [(bundles.MANIFEST, "root")]
+
+
+def test_merge_deals_rows_to_tasks_of_bounded_size(spark, monkeypatch):
+    from quillspark.operators import merge
+
+    monkeypatch.setattr(merge, "TASK_ROWS", 10, raising=False)
+    side = spark.range(100).selectExpr("id AS k", "'v' AS v")
+    merged = merge.merge3(side, side, side.where("k <> 5"), ["k"])[0]
+    assert merged.rdd.getNumPartitions() == 30 and sorted(r["k"] for r in merged.collect()) == [k for k in range(100) if k != 5]

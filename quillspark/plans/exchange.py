@@ -64,10 +64,11 @@ def text_files(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as text files: their manifest, and the length of each as a whole text."""
     path = shared_path(spark, "texts")
     t = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("line")))), lambda x: x["line"]), "\n")
-    one = table(spark, d, "conversations").groupBy("conv_id").agg(t.alias("value"))
-    one.repartition("conv_id").write.partitionBy("conv_id").option("maxRecordsPerFile", 1).text(path)
-    manifest = files.manifest(spark, f"{path}/*/*.txt")
-    whole = files.read_texts(spark, f"{path}/*/*.txt").select(F.regexp_extract("file", r"([^/]+)$", 1).alias("file"), F.sha2("value", 256).alias("sha256"), F.length("value").alias("n_chars"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    one = table(spark, d, "conversations").repartition(parts, "conv_id").groupBy("conv_id").agg(t.alias("value"))
+    sinks.write_texts(one, path)
+    manifest = files.manifest(spark, path)
+    whole = files.read_texts(spark, path).select(F.regexp_extract("file", r"([^/]+)$", 1).alias("file"), F.sha2("value", 256).alias("sha256"), F.length("value").alias("n_chars"))
     return manifest.join(whole, ["file", "sha256"]).select("bytes", "lines", "sha256", "n_chars")
 
 

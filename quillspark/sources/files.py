@@ -63,8 +63,9 @@ def source_name(path: Column) -> Column:
 def manifest(spark: SparkSession, paths: Paths) -> DataFrame:
     """``file, bytes, lines, sha256`` of files; an unterminated last line counts."""
     files = spark.read.format("binaryFile").load(list(paths) if not isinstance(paths, str) else paths)
-    newline = F.length(F.regexp_replace(F.hex("content"), "(0A)|..", "$1")) / 2
-    open_end = (F.length("content") > 0) & (F.right(F.hex("content"), F.lit(2)) != "0A")
+    signs = F.decode("content", "ISO-8859-1")  # a sign a byte
+    newline = F.length(signs) - F.length(F.replace(signs, F.lit("\n"), F.lit("")))
+    open_end = (F.length(signs) > 0) & ~F.endswith(signs, F.lit("\n"))
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), (newline + open_end.cast("int")).cast("bigint").alias("lines"), F.sha2("content", 256).alias("sha256"))
 
 

@@ -16,6 +16,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_texts(df: DataFrame, path: str) -> None:
+    """A text file for each row of ``value``, all in the new folder ``path``, with names that don't repeat.
+
+    One folder is listed at once, where a folder a file takes a call each; the tasks put their files
+    in place themselves, so ``path`` holds a whole result only once this returns.
+    """
+    df.select("value").write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+
+
 def write_merged(old: DataFrame, new: DataFrame, keys: list[str], path: str) -> None:
     """New rows replace the old ones of their key wholesale; ``path`` must not be what ``old`` is read from."""
     write_jsonl(upsert(old, new, keys), path)

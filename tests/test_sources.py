@@ -1,5 +1,6 @@
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +90,13 @@ def test_sinks(spark, tmp_path):
     assert sinks.markdown(df.orderBy("id")).splitlines()[2:] == ['| 1 | a,"b" |', "| 2 |  |"]
     with pytest.raises(ValueError):
         sinks.markdown(spark.range(5), most=4)
+
+
+def test_texts_are_written_to_one_folder(spark, tmp_path):
+    texts = ["a\nb", "a\nb", "", "é\n", "x" * 70_000] * 20
+    path = str(tmp_path / "texts")
+    sinks.write_texts(spark.createDataFrame([(t,) for t in texts], "value string").repartition(3), path)
+    names = [n for n in os.listdir(path) if n.endswith(".txt")]
+    assert len(names) == len(texts) and not [n for n in os.listdir(path) if os.path.isdir(f"{path}/{n}")]
+    found = files.manifest(spark, path).join(files.read_texts(spark, path).select(F.regexp_extract("file", r"([^/]+)$", 1).alias("file"), "value"), "file").collect()
+    assert sorted((r["bytes"], r["lines"], r["value"]) for r in found) == sorted((len(t.encode()) + 1, t.count("\n") + 1, t + "\n") for t in texts)

@@ -36,3 +36,17 @@ def test_one_address_opens_one_day(spark, tmp_path):
     assert got == {"2024-01-03#1": want, "2024-01-03#0": "\nday 3 line 1\nday 3 line 2", "2024-01-01#0": None, "bad": None, None: None}
     plan = addresses.window_texts(spark, path, asked, "text")._jdf.queryExecution().executedPlan().toString()
     assert " IN (" in plan  # the days' folders, by name
+
+
+def test_many_days_share_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(addresses, "FEW_DAYS", 20)
+    monkeypatch.setattr(addresses, "FOLDERS", 7, raising=False)
+    path = str(tmp_path / "many")
+    rows = [(f"d/{d:03d}", n, f"line {d} {n}") for d in range(60) for n in range(5)]
+    addresses.write_addressed(spark.createDataFrame(rows, "day string, n bigint, line string"), path, "day", "n", "line", F.lit(5), 10)
+    want = {f"d/{d:03d}#{w}": "\n".join(f"line {d} {n}" for n in range(2 * w, min(5, 2 * w + 2))) for d in range(60) for w in range(3)} | {"d/001#3": None, "none#0": None, "x": None}
+    assert all(len([x for x in os.listdir(f"{path}/{part}") if "=" in x]) <= 7 for part in ("lines", "index"))
+    for asked in (want, dict(list(want.items())[:12])):  # of many days, and of few
+        got = addresses.window_texts(spark, path, spark.createDataFrame([(a,) for a in asked], "a string"), "a").collect()
+        assert {r["address"]: r["text"] for r in got} == asked
+    assert all(addresses.window_text(spark, path, a) == want[a] for a in ("d/000#0", "d/059#2", "d/001#3", "none#0"))

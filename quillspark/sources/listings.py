@@ -1,7 +1,8 @@
 """Paged monthly listings as a Spark data source, in batch and as a stream.
 
 A listing is a folder of pages ``month=YYYY-MM/page=N/*``, one record a line, as a crawl or
-``write_listing`` leaves it.  Each page is a partition of its own; conditions on ``month``
+``write_listing`` leaves it.  Up to ``MOST_PARTITIONS`` pages are each a partition of its own, more are
+dealt out as runs of pages, each read page by page; conditions on ``month``
 and ``page`` are pushed down, so a month's read opens that month's pages only.  As a stream
 the offset is the last page taken, in the order of (month, page): a restart goes on behind it,
 and what is appended later (more pages of the last month, later months) is the next batch.
@@ -22,14 +23,22 @@ SCHEMA = "month string, page int, record string"
 NAME = "paged_listing"
 #: Records of one Arrow batch.
 BATCH = 4096
+#: Pages up to which each is a partition; bytes above which a run of pages isn't made longer.
+MOST_PARTITIONS, RUN_BYTES = 200, 64 << 20
 _COMPARE = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
 
 
 @dataclass(frozen=True)
-class Page(InputPartition):
+class Page:
     month: str
     page: int
     files: tuple[str, ...]
+    size: int
+
+
+@dataclass(frozen=True)
+class Run(InputPartition):
+    pages: tuple[Page, ...]
 
 
 def _store(path: str):
@@ -38,17 +47,39 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path) if ":" in path.partition("/")[0] else (fs.LocalFileSystem(), path)
 
 
-def pages(path: str) -> list[Page]:
-    """Pages of a listing in order; what isn't named like a page is none."""
+def months(path: str) -> list[str]:
+    """Months that a listing has a folder of, in order."""
+    from pyarrow import fs
+
+    store, root = _store(path)
+    found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return sorted(f.base_name[6:] for f in found if f.type == fs.FileType.Directory and f.base_name.startswith("month="))
+
+
+def pages(path: str, only: list[str] | None = None) -> list[Page]:
+    """Pages of a listing (of ``only`` these months) in order; what isn't named like a page is none."""
     from pyarrow import fs
 
     store, root = _store(path)
-    found: dict[tuple[str, int], list[str]] = {}
-    for f in store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
-        parts = f.path[len(root) :].strip("/").split("/")
-        if f.type == fs.FileType.File and len(parts) == 3 and parts[0].startswith("month=") and parts[1].startswith("page=") and parts[2][0] not in "._":
-            found.setdefault((parts[0][6:], int(parts[1][5:])), []).append(f.path)
-    return [Page(m, p, tuple(sorted(files))) for (m, p), files in sorted(found.items())]
+    found: dict[tuple[str, int], list[tuple[str, int]]] = {}
+    for month in months(path) if only is None else only:
+        for f in store.get_file_info(fs.FileSelector(f"{root}/month={month}", recursive=True, allow_not_found=True)):
+            parts = f.path[len(root) :].strip("/").split("/")
+            if f.type == fs.FileType.File and len(parts) == 3 and parts[1].startswith("page=") and parts[2][0] not in "._":
+                found.setdefault((month, int(parts[1][5:])), []).append((f.path, f.size))
+    return [Page(m, p, tuple(sorted(n for n, _ in files)), sum(size for _, size in files)) for (m, p), files in sorted(found.items())]
+
+
+def runs(taken: list[Page]) -> list[Run]:
+    """Pages in order, dealt out to partitions."""
+    most, out = -(-len(taken) // MOST_PARTITIONS), []
+    held: list[Page] = []
+    for page in taken:
+        if held and (len(held) >= most or sum(p.size for p in held) + page.size > RUN_BYTES):
+            out.append(Run(tuple(held)))
+            held = []
+        held.append(page)
+    return [*out, Run(tuple(held))] if held else out
 
 
 def records(path: str, page: Page) -> Iterator[pa.RecordBatch]:
@@ -70,6 +101,11 @@ def records(path: str, page: Page) -> Iterator[pa.RecordBatch]:
             yield _batch(page, held)
 
 
+def run_records(path: str, run: Run) -> Iterator[pa.RecordBatch]:
+    for page in run.pages:
+        yield from records(path, page)
+
+
 def _batch(page: Page, lines: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([page.month] * len(lines), pa.string()), pa.array([page.page] * len(lines), pa.int32()), pa.array(lines, pa.string())], ["month", "page", "record"])
 
@@ -87,14 +123,14 @@ class ListingReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Page]:
+    def partitions(self) -> list[Run]:
         def wanted(p: Page) -> bool:
             return all(getattr(p, c) in f.value if isinstance(f, In) else _COMPARE[type(f)](getattr(p, c), f.value) for c, f in self.kept)
 
-        return [p for p in pages(self.path) if wanted(p)]
+        return runs([p for p in pages(self.path) if wanted(p)])
 
-    def read(self, partition: Page | None) -> Iterator[pa.RecordBatch]:
-        return records(self.path, partition) if partition else iter(())  # None where there are no pages
+    def read(self, partition: Run | None) -> Iterator[pa.RecordBatch]:
+        return run_records(self.path, partition) if partition else iter(())  # None where there are no pages
 
 
 class ListingStream(DataSourceStreamReader):
@@ -105,15 +141,18 @@ class ListingStream(DataSourceStreamReader):
         return {"month": "", "page": -1}
 
     def latestOffset(self) -> dict:
-        last = pages(self.path)[-1:]
-        return {"month": last[0].month, "page": last[0].page} if last else self.initialOffset()
+        for month in reversed(months(self.path)):
+            if last := pages(self.path, [month])[-1:]:
+                return {"month": month, "page": last[0].page}
+        return self.initialOffset()
 
-    def partitions(self, start: dict, end: dict) -> list[Page]:
+    def partitions(self, start: dict, end: dict) -> list[Run]:
         low, high = ((x["month"], x["page"]) for x in (start, end))
-        return [p for p in pages(self.path) if low < (p.month, p.page) <= high]
+        between = [m for m in months(self.path) if start["month"] <= m <= end["month"]]
+        return runs([p for p in pages(self.path, between) if low < (p.month, p.page) <= high])
 
-    def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
-        return records(self.path, partition)
+    def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
+        return run_records(self.path, partition)
 
     def commit(self, end: dict) -> None:
         pass

@@ -57,3 +57,14 @@ def test_written_listing_comes_back(spark, tmp_path):
     back = listings.read_listing(spark, str(tmp_path / "l")).select("month", "page", F.from_json("record", "id int, m string, t string").alias("r")).select("month", "page", "r.*").collect()
     assert sorted((r["id"], r["m"], r["t"]) for r in back) == sorted(tuple(r) for r in rows.where("m IS NOT NULL").collect())
     assert all(r["month"] == r["m"] for r in back) and {(r["month"], r["page"]) for r in back} == {("2024-01", 0), ("2024-01", 1), ("2024-01", 2), ("2024-02", 0), ("2024-02", 1), ("2024-03", 0), ("2024-03", 1)}
+
+
+def test_many_pages_are_dealt_out_as_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(listings, "MOST_PARTITIONS", 6, raising=False)
+    path = str(tmp_path / "l")
+    listings.write_listing(spark.range(200).selectExpr("id", "concat('2024-0', id % 4 + 1) AS m"), path, F.col("m"), [F.col("id")], 5)
+    rows = listings.read_listing(spark, path)
+    assert rows.rdd.getNumPartitions() == 6 and len(set(ids(rows))) == 200
+    assert rows.where("month = '2024-03'").rdd.getNumPartitions() == 5 and rows.where("month = '2024-03'").count() == 50
+    listings.stream_listing(spark, path).writeStream.format("parquet").option("path", f"{tmp_path}/rows").option("checkpointLocation", f"{tmp_path}/cp").trigger(once=True).start().awaitTermination()
+    assert ids(spark.read.parquet(f"{tmp_path}/rows")) == sorted(map(str, range(200))) and len([n for n in os.listdir(f"{tmp_path}/rows") if n.endswith(".parquet")]) <= 6

@@ -2,6 +2,7 @@ import datetime
 import random
 import statistics
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,3 +223,20 @@ def test_scorer_gets_bounded_batches(spark):
     rows = spark.createDataFrame([(i, None if i == 4 else long * 3 if i == 2 else long) for i in range(9)], "window_id int, text string").coalesce(1)
     got = sorted(tuple(r) for r in scorer.score(rows, Bounded()).collect())
     assert got == sorted((i, "a", k, "s", 0.5) for i in range(9) if i != 4 for k in range(3))
+
+
+def test_scorer_bounds_what_spark_gathers(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    rows = spark.createDataFrame([(i, "x" * (1 << 20)) for i in range(30)], "window_id int, text string").coalesce(1)
+    largest = lambda: rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n bigint").agg(F.max("n")).first()[0]
+    try:
+        spark.conf.set(key, "64m")
+        assert largest() >= 30 << 20
+        scorer.score(rows, scorer.RuleScorer())
+        assert largest() <= 8 << 20
+        spark.conf.set(key, "2m")
+        scorer.score(rows, scorer.RuleScorer())
+        assert spark.conf.get(key) == "2m"
+    finally:
+        spark.conf.set(key, before)
